@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelquilt import pipeline_queries
 from reelquilt.operators import compaction
 from reelquilt.sources.tables import table
 
@@ -30,8 +31,13 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**pipeline_queries.QUERIES, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**pipeline_queries.ORACLE, **ORACLE}
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """Frames pooled to videos, each video with its best statement."""
+    return pipeline_queries.pooled_best(spark, d)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from reelquilt.llm.vectors import common_size, matrix, unit, usable
+from reelquilt.llm.vectors import common_size, lists, matrix, unit_rows, usable
 from reelquilt.plans.materialize import cut
 
 FAR = 2.0  # the largest distance of unit vectors
@@ -171,8 +171,15 @@ def prepare(df: DataFrame, *, item: str, vector: str, size: int | None = None) -
     """One unit vector per id; null ids and vectors that aren't usable take no part, of several the smallest counts."""
     own = df.select(F.col(item).alias("id"), F.col(vector).alias("z"))
     size = size if size is not None else common_size(own, "z")
-    rows = own.where(F.col("id").isNotNull() & usable(F.col("z"), size)).groupBy("id").agg(F.min("z").alias("z"))
-    return Prepared(rows.select("id", unit(F.col("z")).alias("u")), size)
+    kept = own.where(F.col("id").isNotNull() & usable(F.col("z"), size)).select("id", F.col("z").cast("array<double>").alias("z"))
+    rows = kept.groupBy("id").agg(F.min("z").alias("z"))
+    schema = T.StructType([rows.schema["id"], T.StructField("u", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(unit_rows(matrix(batch.column(1), size)))], names=["id", "u"])
+
+    return Prepared(rows.mapInArrow(run, schema), size)
 
 
 def nearest(
@@ -201,12 +208,13 @@ def nearest(
     spark = df.sparkSession
     key = df.schema[item].dataType
     ready = prepare(df, item=item, vector=vector, size=size)
-    copies = W.partitionBy("u").orderBy("id")
+    copies = W.partitionBy("h", "u").orderBy("id")
     d = ready.size
     out_cols = lambda x: x.select(F.col("a").cast(key).alias(f"{item}_a"), F.col("b").cast(key).alias(f"{item}_b"), "cosine", "rank")
     if d is None:
         return spark.createDataFrame([], T.StructType([T.StructField(f"{item}_a", key), T.StructField(f"{item}_b", key), T.StructField("cosine", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
-    base = ready.rows if not all_copies else cut(ready.rows)
+    base = ready.rows.withColumn("h", F.xxhash64("u"))  # hashes are compared before vectors
+    base = cut(base) if all_copies else base
     index = cut(base.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select(F.col("id").cast("long").alias("id"), "u"))
     n = index.count()
     levels_of = max(1, -(-n // chunk_rows))

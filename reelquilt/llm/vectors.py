@@ -16,12 +16,10 @@ def usable(z: Column, size: int | None = None) -> Column:
     return F.coalesce(right_size & ~wrong & some, F.lit(False))
 
 
-def unit(z: Column) -> Column:
-    """The vector at length 1, its values rounded to 12 digits so that copies at other lengths become equal."""
-    top = F.array_max(F.transform(z, lambda x: F.abs(x.cast("double"))))  # against overflow of squares
-    scaled = F.transform(z, lambda x: x.cast("double") / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: F.round(x / norm, 12) + F.lit(0.0))
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, rounded to 12 digits so that copies at other lengths become equal (and without negative zeros)."""
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)  # against overflow of squares
+    return np.round(scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)), 12) + 0.0
 
 
 def common_size(df: DataFrame, column: str) -> int | None:

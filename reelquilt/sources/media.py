@@ -178,7 +178,8 @@ def extract_frames(plan: DataFrame, provider: MediaProvider, fps: int = 3) -> Da
                     paths = provider.extract_frames(path, folder, fps)
                 except Exception:
                     paths = []
-                yield pd.DataFrame({"video_id": [video] * len(paths), "frame_path": list(paths)})
+                if paths:
+                    yield pd.DataFrame({"video_id": [video] * len(paths), "frame_path": list(paths)})
 
     return frame_index(plan.select("video_id", "path", "folder").mapInPandas(run, "video_id string, frame_path string"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from reelquilt.plans.materialize import cut
+
 #: Differences of decimal fractions are compared with this slack: 0.27 - 0.265 counts as 0.005.
 SLACK = 1e-9
 
@@ -69,7 +71,7 @@ def collapse_runs(
     own = F.floor(F.col("p") / F.lit(block)) == F.col("b")
     opens = ~F.coalesce(F.floor(F.col("previous") / F.lit(block)) == F.col("b"), F.lit(False))
     starts = frames.where(own & (~F.col("linked") | opens))
-    parts = starts.select(
+    parts = cut(starts.select(
         "k",
         "b",
         F.col("p").alias("first"),
@@ -77,7 +79,7 @@ def collapse_runs(
         (F.coalesce(F.lead("r").over(line), F.col("end_r") + 1) - F.col("r")).cast("long").alias("n"),
         "linked",
         (opens | F.lead("p").over(line).isNull()).alias("edge"),
-    )
+    ))
     inner = parts.where("not edge").select("k", "first", "last", "n")
     chain = W.partitionBy("k").orderBy("first")
     joined = (

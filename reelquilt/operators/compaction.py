@@ -21,33 +21,33 @@ def last_component(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
+#: Video and number before a suffix, with marks of a copy "(n)" on either side of it.
+FRAME_PATTERN = r"(?:^|[/\\])([^/\\]+)_(\d+)(?:\s*\(\d+\))*\s*(?:\.[A-Za-z0-9]+)?(?:\s*\(\d+\))*\s*$"
+
+
 def frame_of_path(path: Column) -> tuple[Column, Column]:
     """Video and number that a frame's file name gives, however written: in any case, as a copy "(n)", with any suffix."""
-    bare = F.lower(F.trim(F.regexp_replace(last_component(path), r"(\s*\(\d+\))*\s*\.[A-Za-z0-9]+\s*$", "")))
-    bare = F.regexp_replace(bare, r"\s*\(\d+\)$", "")
-    number = F.regexp_extract(bare, r"^(.+)_(\d+)$", 2)
-    video = F.regexp_extract(bare, r"^(.+)_(\d+)$", 1)
-    return F.when(number != "", video), F.when(number != "", number.try_cast("bigint"))
+    video, number = (F.regexp_extract(path, FRAME_PATTERN, i) for i in (1, 2))
+    return F.when(number != "", F.lower(F.trim(video))), F.when(number != "", number.try_cast("bigint"))
 
 
 def classify_files(files: DataFrame, *, file: str = "file_id", path: str = "frame_path", n_bytes: str = "n_bytes") -> DataFrame:
-    """One row per file: the id, ``video``, ``number``, ``bytes``, ``status``.
+    """One row per distinct row: the id, ``path``, ``video``, ``number``, ``bytes``, ``status``.
 
-    ``status`` is ``empty`` (null, zero or negative size), ``unnamed`` (a path that names no frame), ``repeat`` (a file of
-    the same frame with a smaller id has content) or ``kept``.  Exact repeats of a row count once; of rows that share an
-    id but not the rest, the one with the smallest path and size counts.  A null id comes after all others.
+    ``status`` is ``empty`` (null, zero or negative size), ``unnamed`` (a path that names no frame), ``kept`` (of the files
+    with content the one with the frame's smallest id), ``repeat`` (another file of the frame) or ``same`` (another row of
+    the kept file, with another path or size).  Exact repeats of a row count once.  A null id comes after all others.
     """
-    own = files.select(F.col(file).alias("file"), F.col(path).alias("path"), F.col(n_bytes).cast("long").alias("bytes"))
-    own = own.groupBy("file").agg(F.min(F.struct("path", "bytes")).alias("s")).select("file", "s.path", "s.bytes")
+    own = files.select(F.col(file).alias("file"), F.col(path).alias("path"), F.col(n_bytes).cast("long").alias("bytes")).distinct()
     video, number = frame_of_path(F.col("path"))
     named = own.select("file", "path", "bytes", video.alias("video"), number.alias("number"))
     filled = F.coalesce(F.col("bytes") > 0, F.lit(False))
-    frame = F.col("number").isNotNull()
-    first = F.min(F.when(filled, F.col("file"))).over(W.partitionBy("video", "number"))
-    status = F.when(~filled, "empty").when(~frame, "unnamed").when(F.col("file").eqNullSafe(first), "kept").otherwise("repeat")
-    # rows that name no frame share no group: they'd all meet in one task otherwise
-    named_rows, others = named.where(frame), named.where(~frame)
-    out = named_rows.withColumn("status", status).unionByName(others.withColumn("status", F.when(~filled, "empty").otherwise("unnamed")))
+    # Only files that name a frame and have content meet in a window; the others would all share a group.
+    rivals, others = named.where(filled & F.col("number").isNotNull()), named.where(~filled | F.col("number").isNull())
+    frame = W.partitionBy("video", "number").orderBy(F.col("file").asc_nulls_last(), "path", "bytes")
+    first = F.first("file").over(frame)
+    status = F.when(F.row_number().over(frame) == 1, "kept").when(F.col("file").eqNullSafe(first), "same").otherwise("repeat")
+    out = rivals.withColumn("status", status).unionByName(others.withColumn("status", F.when(~filled, "empty").otherwise("unnamed")))
     return out.select(F.col("file").alias(file), "path", "video", "number", "bytes", "status")
 
 
@@ -61,20 +61,20 @@ def plan_containers(
     open_cost: int = OPEN_COST,
     stretch: int = 4096,
 ) -> DataFrame:
-    """:func:`classify_files` with ``container``, null for files that aren't kept (``empty`` and ``repeat``).
+    """:func:`classify_files` with ``container``, null for what isn't kept (``empty``, ``repeat`` and ``same``).
 
     Files are packed in the order of their frames, within hash buckets of stretches of frames, so that no bucket depends
     on the length of a video.  A container is closed when the bytes and opening costs of its files pass ``target_bytes``;
-    a bucket holds about 64 of them and leaves at most one that isn't full.
+    a bucket holds up to 64 of them or so and leaves at most one that isn't full.
     """
+    cost = lambda size: F.least(F.coalesce(size, F.lit(0)), F.lit(target_bytes)).cast("long") + F.lit(open_cost)
+    total = files.agg(F.sum(cost(F.col(n_bytes)))).first()[0] or 0  # repeats included: a bucket may hold fewer than planned
     named = classify_files(files, file=file, path=path, n_bytes=n_bytes)
     keep = F.col("status").isin("kept", "unnamed")
-    cost = F.least(F.coalesce("bytes", F.lit(0)), F.lit(target_bytes)) + F.lit(open_cost)
-    total = named.where(keep).agg(F.sum(cost)).first()[0] or 0
     buckets = max(1, -(-total // (64 * target_bytes)))
     place = F.pmod(F.xxhash64("video", F.floor(F.col("number") / stretch)), F.lit(buckets))
     place = F.when(F.col("number").isNull(), F.pmod(F.xxhash64(file), F.lit(buckets))).otherwise(place)
-    kept = named.where(keep).withColumn("bucket", place).withColumn("cost", cost)
+    kept = named.where(keep).withColumn("bucket", place).withColumn("cost", cost(F.col("bytes")))
     ahead = W.partitionBy("bucket").orderBy("video", "number", file, "path").rowsBetween(W.unboundedPreceding, -1)
     at = F.floor(F.coalesce(F.sum("cost").over(ahead), F.lit(0)) / F.lit(target_bytes))
     packed = kept.withColumn("container", F.concat_ws("-", F.col("bucket").cast("string"), at.cast("string"))).drop("bucket", "cost")

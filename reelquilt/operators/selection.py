@@ -44,12 +44,16 @@ class State:
 
 
 def scores_of(x: np.ndarray, ids: np.ndarray, strata: np.ndarray, state: State, coherence: float, diversity: float) -> np.ndarray:
-    """Score of each candidate: nearness to the anchor, distance from what is picked, rarely used videos and strata."""
+    """Score of each candidate: nearness to the anchor, distance from what is picked, rarely used videos and strata.
+
+    Logarithms at nine digits: once the anchor is picked, nearness and distance often cancel out but for rounding errors,
+    and such ties must not depend on how sums were ordered.
+    """
     q = 1.0 / (cosine(x, state.anchor) + EPS)
     gain = np.min([cosine(x, v) for v in state.vectors], axis=0) if state.vectors else np.full(len(x), state.anchor_reach)
     used = np.array([state.usage.get(int(i), 0) for i in ids], dtype=float)
     taken = np.array([state.counts.get(int(s), 0) for s in strata], dtype=float)
-    return q**coherence * (gain + EPS) ** diversity / (1.0 + used) / (1.0 + taken)
+    return np.round(coherence * np.log(q) + diversity * np.log(gain + EPS) - np.log1p(used) - np.log1p(taken), 9) + 0.0
 
 
 class _Local:
@@ -124,7 +128,7 @@ def select_compilations(
     ``videos`` has ``video_idx`` (counted from 0), ``z``, ``stratum_id`` and ``duration_s`` (null counts as 0, and 0 is never
     picked).  Per compilation the strata are visited once in a seeded order, each giving its best candidate that fits
     under the maximum; while the minimum isn't met the best of all candidates is added.  A compilation may stay below the
-    minimum if nothing fits.  Ties go to the lowest index.
+    minimum if nothing fits.  Ties (scores that agree to nine digits) go to the lowest index.
     """
     if n_compilations < 1:
         raise ValueError("n_compilations must be at least 1")

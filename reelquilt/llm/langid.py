@@ -28,6 +28,8 @@ _RUNNING_HEAD = re.compile(
 )
 _SPLIT_WORD = re.compile(r"(?<=[^\W\d_])[-­‐‑][ \t\r]*\n\s*(?=[^\W\d_])")
 _BMP = 1 << 16
+#: Characters that are scored together.
+BLOCK_CHARS = 1 << 20
 
 
 def _letter_table() -> np.ndarray:
@@ -111,23 +113,26 @@ def fit(
     """
     counts = np.zeros((buckets, len(languages)))
     cleaned = [clean_text(t) for t in texts]
-    if cleaned:
-        centres, owner, bounds, hashes = words_of(cleaned, orders, buckets)
-        n_words = len(owner)
-        word_of_letter = np.zeros(len(centres), dtype=np.int64)
-        if n_words:
-            word_of_letter[owner[1:]] = 1
-            word_of_letter = np.cumsum(word_of_letter)
+    blocks, start, size = [], 0, 0
+    for i, t in enumerate(cleaned):
+        size += len(t)
+        if size >= BLOCK_CHARS or i == len(cleaned) - 1:
+            blocks.append((start, i + 1))
+            start, size = i + 1, 0
     model = None
     for _ in range(rounds if cleaned else 0):
-        if model is None:
-            by_word = np.repeat(np.asarray(labels, dtype=np.int64), np.diff(bounds))
-        else:
-            by_word = viterbi(word_scores(model, centres, owner, hashes), bounds)
-        lang = by_word[word_of_letter] if n_words else np.zeros(0, dtype=np.int64)
         counts[:] = 0
-        for h in hashes:
-            counts += np.bincount(h.astype(np.int64) * len(languages) + lang, minlength=counts.size).reshape(counts.shape)
+        for low, high in blocks:  # block by block, so that memory doesn't grow with the sample
+            centres, owner, bounds, hashes = words_of(cleaned[low:high], orders, buckets)
+            if not len(owner):
+                continue
+            if model is None:
+                by_word = np.repeat(np.asarray(labels[low:high], dtype=np.int64), np.diff(bounds))
+            else:
+                by_word = viterbi(word_scores(model, centres, owner, hashes), bounds)
+            lang = np.repeat(by_word, np.diff(np.append(owner, len(centres))))
+            for h in hashes:
+                counts += np.bincount(h * np.int64(len(languages)) + lang, minlength=counts.size).reshape(counts.shape)
         logs = np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * buckets)
         model = NgramModel(tuple(languages), tuple(orders), buckets, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
     return model or NgramModel(tuple(languages), tuple(orders), buckets, np.zeros(counts.shape, dtype=np.float32))
@@ -178,9 +183,6 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, *, change: float = 14.0, wor
     return out
 
 
-BLOCK_CHARS = 1 << 20
-
-
 def _pieces(text: str) -> Iterator[str]:
     """The text in pieces of about BLOCK_CHARS, cut at white space (or anywhere, if there is none)."""
     at = 0

@@ -8,6 +8,7 @@ before anything is executed.
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from collections.abc import Iterator
 from typing import Protocol
@@ -22,6 +23,12 @@ from reelquilt.schemas import FRAMES, require_frames
 # Suffixes of media files (lower case only), and the height that an unknown source counts as.
 SUFFIXES = ("mp4", "mov", "avi", "mkv", "webm")
 UNKNOWN_HEIGHT = 99999
+# How normalised videos are encoded, what is probed, how frames are named.
+VIDEO_OPTIONS = ("-c:v", "libx264", "-pix_fmt", "yuv420p", "-crf", "18")
+AUDIO_OPTIONS = ("-c:a", "aac", "-b:a", "192k", "-ar", "48000", "-ac", "2")
+CONTAINER_OPTIONS = ("-movflags", "+faststart")
+PROBE_OPTIONS = ("-v", "error", "-select_streams", "v:0", "-show_entries", "format=duration:stream=width,height", "-of", "json")
+FRAME_SUFFIX = "_%06d.jpg"
 
 
 class MediaProvider(Protocol):
@@ -46,20 +53,16 @@ class FfmpegProvider:
         return done.stdout
 
     def probe(self, path: str) -> str:
-        return self._run(["ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "format=duration:stream=width,height", "-of", "json", path])
+        return self._run(["ffprobe", *PROBE_OPTIONS, path])
 
     def normalize(self, source: str, target: str, height: int | None) -> None:
         scale = ["-vf", f"scale=-2:{height}"] if height else []
-        video = ["-c:v", "libx264", "-pix_fmt", "yuv420p", "-crf", "18"]
-        audio = ["-c:a", "aac", "-b:a", "192k", "-ar", "48000", "-ac", "2"]
-        self._run(["ffmpeg", "-y", "-i", source, *scale, *video, *audio, "-movflags", "+faststart", target])
+        self._run(["ffmpeg", "-y", "-i", source, *scale, *VIDEO_OPTIONS, *AUDIO_OPTIONS, *CONTAINER_OPTIONS, target])
 
     def extract_frames(self, path: str, folder: str, fps: int) -> list[str]:
-        import os
-
         os.makedirs(folder, exist_ok=True)
         name = os.path.splitext(os.path.basename(path))[0]
-        self._run(["ffmpeg", "-y", "-i", path, "-vf", f"fps={fps}", f"{folder}/{name}_%06d.jpg"])
+        self._run(["ffmpeg", "-y", "-i", path, "-vf", f"fps={fps}", f"{folder}/{name}{FRAME_SUFFIX}"])
         return sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.startswith(name + "_") and f.endswith(".jpg"))
 
 

@@ -1 +1,4 @@
+"""Nothing runs as a stream: the pipeline is a batch pipeline, without event time, watermarks or state.
 
+What a stream of batches needs is there in batch form: sketches of separate batches are merged by addition.
+"""

@@ -2,8 +2,8 @@
 
 Everything a metric needs is a mean over the members of a set, or over pairs of them, of numbers that depend on the pool
 alone.  So samples are a table (slot, rep, idx), the pool's numbers are joined to it and one aggregation gives all four
-metrics of all replicates.  Each replicate draws with a generator of its own, seeded by (seed, slot, replicate): the same
-on any number of partitions.
+metrics of all replicates.  Each replicate draws with a generator of its own, seeded by (seed, replicate): the same on any
+number of partitions.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from reelquilt.operators.linalg import matrix_of
 from reelquilt.plans.materialize import cut
 from reelquilt.plans.ranking import number_from_zero
 
-#: Rows of the pool that are sent to the executors at once.
+#: Rows of the pool that are sent to the executors at once, and the largest pool that is sent whole.
 BLOCK_ROWS = 16_384
+LOCAL_POOL_BYTES = 64 << 20
 METRICS = ("variance_capture", "mean_pairwise_distance", "centroid_shift", "mmd")
 
 
@@ -45,26 +46,90 @@ def hash_rank(seed: int, *parts) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *parts))
 
 
+def draw(rng: np.random.Generator, total: int, n: int, m: int) -> np.ndarray:
+    """``m`` rows of ``n`` distinct places below ``total`` (all of them, if there are fewer than ``n``)."""
+    n = min(n, total)
+    if n * n > total:
+        return rng.random((m, total)).argsort(axis=1)[:, :n]
+    out = rng.integers(total, size=(m, n))
+    while True:  # draws with a repeat are thrown away whole, which keeps all sets equally likely
+        ordered = np.sort(out, axis=1)
+        again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
+        if not len(again):
+            return out
+        out[again] = rng.integers(total, size=(len(again), n))
+
+
+def draws(sizes: list[tuple[int, int]], total: int, rep: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots and places of one replicate, a matrix for each size."""
+    rng = np.random.default_rng([seed, rep])
+    by_size: dict[int, list[int]] = {}
+    for slot, n in sorted(sizes):
+        by_size.setdefault(n, []).append(slot)
+    for n in sorted(by_size):
+        yield np.array(by_size[n]), draw(rng, total, n, len(by_size[n]))
+
+
+def _replicates(spark, reps: int) -> DataFrame:
+    return spark.range(reps).repartition(max(1, min(reps, spark.sparkContext.defaultParallelism * 4)))
+
+
 def sampled(numbers: "PoolNumbers", sizes: list[tuple[int, int]], reps: int, seed: int) -> DataFrame:
     """``slot, rep, idx``: for each (slot, n) and replicate ``n`` distinct rows of the pool, all of it if it has fewer."""
-    spark = numbers.pool.sparkSession
     total = numbers.n
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, rep_ids, places = [], [], []
             for rep in batch.column(0).to_pylist():
-                for slot, n in sizes:
-                    got = np.random.default_rng([seed, slot, rep]).choice(total, size=min(n, total), replace=False, shuffle=False)
-                    slots.append(np.full(len(got), slot)), rep_ids.append(np.full(len(got), rep)), places.append(got)
-            if slots:
-                columns = [pa.array(np.concatenate(c)) for c in (slots, rep_ids, places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["slot", "rep", "place"])
-
-    drawn = spark.range(reps).repartition(max(1, min(reps, spark.sparkContext.defaultParallelism))).mapInArrow(run, "slot long, rep long, place long")
+                for slots, places in draws(sizes, total, rep, seed):
+                    columns = np.repeat(slots, places.shape[1]), np.full(places.size, rep), places.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "rep", "place"])
+
+    drawn = _replicates(numbers.pool.sparkSession, reps).mapInArrow(run, "slot long, rep long, place long")
     return drawn.join(numbers.pool.select("place", "idx"), "place").select("slot", "rep", "idx")
 
 
+def drawn_metrics(numbers: "PoolNumbers", sizes: list[tuple[int, int]], reps: int, seed: int, local_bytes: int | None = None) -> DataFrame:
+    """:func:`set_metrics` of random sets.
+
+    A pool of up to ``local_bytes`` is sent to the executors and each replicate is drawn and measured there, without any
+    shuffle; a larger one is joined to the draws.  Both draw the same sets.
+    """
+    spark = numbers.pool.sparkSession
+    local_bytes = LOCAL_POOL_BYTES if local_bytes is None else local_bytes
+    if numbers.n * (numbers.dimensions + 2) * 8 > local_bytes:
+        return set_metrics(sampled(numbers, sizes, reps, seed), numbers)
+    held = numbers.pool.select("place", "idx", "z").join(numbers.rows.select("idx", "a", "r"), "idx").orderBy("place").toArrow()
+    z = np.array(held.column("z").to_pylist(), dtype=float).reshape(numbers.n, -1)
+    shared = spark.sparkContext.broadcast((z, held.column("a").to_numpy(), held.column("r").to_numpy()))
+    total, var, sigma, kernel_mean = numbers.n, numbers.var, numbers.sigma, numbers.kernel_mean
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, a, r = shared.value
+        for batch in batches:
+            for rep in batch.column(0).to_pylist():
+                for slots, places in draws(sizes, total, rep, seed):
+                    m, n = places.shape
+                    x = z[places]
+                    squares = (x * x).sum(axis=2)
+                    i, j = np.triu_indices(n, 1)
+                    d2 = np.maximum(squares[:, i] + squares[:, j] - 2 * np.matmul(x, x.transpose(0, 2, 1))[:, i, j], 0)
+                    mean_a = a[places].mean(axis=1)
+                    kss = (n + 2 * np.exp(-d2 / (2 * sigma * sigma)).sum(axis=1)) / (n * n)
+                    columns = (
+                        slots,
+                        np.full(m, rep),
+                        np.full(m, n),
+                        mean_a / var if var > 0 else np.zeros(m),
+                        np.sqrt(d2).mean(axis=1) if n > 1 else np.zeros(m),
+                        np.sqrt(np.maximum(mean_a - d2.sum(axis=1) / (n * n), 0)),
+                        np.sqrt(np.maximum(kss - 2 * r[places].mean(axis=1) + kernel_mean, 0)),
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "rep", "size", *METRICS])
+
+    return _replicates(spark, reps).mapInArrow(run, "slot long, rep long, size long, " + ", ".join(f"{m} double" for m in METRICS))
+
+
 def median_sigma(pool: DataFrame, seed: int, sample: int = 100) -> float:
     """Median distance of pairs among at most ``sample`` hashed rows of the pool; 1 without pairs or if they coincide."""
     some = pool.orderBy(hash_rank(seed, F.lit("sigma"), F.col("idx").cast("string")), "idx").limit(sample)
@@ -83,7 +148,7 @@ class PoolNumbers:
     def __init__(self, pool: DataFrame, sigma: float):
         self.pool, self.sigma = cut(number_from_zero(pool.select("idx", "z"), "idx", "place")), sigma
         ref = pool_reference(self.pool).first()
-        self.n, self.var = ref["n_videos"] or 0, ref["var_global"] or 0.0
+        self.n, self.dimensions, self.var = ref["n_videos"] or 0, ref["n_dimensions"], ref["var_global"] or 0.0
         self.mu = F.array(*(F.lit(float(x)) for x in (ref["mu"] or [])))
         row_means = self._kernel_means()
         own = self.pool.select("idx", "z", squared_distance(F.col("z"), self.mu).alias("a"))
@@ -148,10 +213,9 @@ def _long(metrics: DataFrame) -> DataFrame:
     return metrics.select("slot", "rep", "size", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("m")) for m in METRICS))).alias("s")).select("slot", "rep", "size", "s.metric", "s.m")
 
 
-def null_parameters(numbers: PoolNumbers, sizes: list[tuple[int, int]], draws: int, seed: int, eps: float = 1e-8) -> DataFrame:
+def null_parameters(numbers: PoolNumbers, sizes: list[tuple[int, int]], reps: int, seed: int, eps: float = 1e-8) -> DataFrame:
     """``size, metric, mu0, sd0`` of random sets; ``sizes`` has a (slot, n) for each size."""
-    drawn = set_metrics(sampled(numbers, sizes, draws, seed), numbers)
-    return _long(drawn).groupBy("size", "metric").agg(F.avg("m").alias("mu0"), (F.stddev_pop("m") + eps).alias("sd0"))
+    return _long(drawn_metrics(numbers, sizes, reps, seed)).groupBy("size", "metric").agg(F.avg("m").alias("mu0"), (F.stddev_pop("m") + eps).alias("sd0"))
 
 
 def interchangeability(members: DataFrame, embedding: DataFrame, *, null_draws: int = 2000, permutations: int = 3000, seed: int = 1234, eps: float = 1e-8, alpha: float = 0.05, pool: str = "members", sigma: float | None = None) -> DataFrame:
@@ -167,7 +231,7 @@ def interchangeability(members: DataFrame, embedding: DataFrame, *, null_draws:
     observed = cut(_long(set_metrics(sets.join(numbers.pool.select("idx"), "idx", "left_semi"), numbers)))
     counts = sorted((r["slot"], r["size"]) for r in observed.select("slot", "size").distinct().collect())
     nulls = cut(null_parameters(numbers, sorted({(n, n) for _, n in counts}), null_draws, seed, eps))
-    drawn = _long(set_metrics(sampled(numbers, counts, permutations, seed + 1), numbers))
+    drawn = _long(drawn_metrics(numbers, counts, permutations, seed + 1))
     z = lambda df: df.join(F.broadcast(nulls), ["size", "metric"]).withColumn("z", (F.col("m") - F.col("mu0")) / F.col("sd0"))
     # A replicate that draws a compilation itself ties with it; nine digits keep summation order out of the comparison.
     t = [F.round(F.max(F.abs("z")), 9).alias("t_max"), F.round(F.sqrt(F.avg(F.col("z") * F.col("z"))), 9).alias("t_rms")]

@@ -334,6 +334,12 @@ def test_metrics_and_test(spark):
         assert (a["p_max"], a["p_rms"]) == (b["p_max"], b["p_rms"]) and a["z_obs"] == pytest.approx(b["z_obs"])
     drawn = interchange.sampled(numbers, [(0, 3), (1, 99)], 5, 1)
     assert drawn.groupBy("slot", "rep").agg(F.countDistinct("idx").alias("n")).select("slot", "n").distinct().orderBy("slot").collect() == [(0, 3), (1, 8)]
+    sizes = [(0, 3), (1, 5), (2, 1), (3, 2)]
+    wide_pool = interchange.PoolNumbers(interchange.member_pool(members, df, "library"), 1.3)
+    ways = [sorted(interchange.drawn_metrics(wide_pool, sizes, 30, 5, local_bytes=b).select("slot", "rep", "size", *interchange.METRICS).collect()) for b in (0, 1 << 20)]
+    assert len(ways[0]) == 120 and np.allclose(np.array(ways[0], dtype=float), np.array(ways[1], dtype=float), atol=1e-6)
+    picks = interchange.draw(np.random.default_rng(1), 10, 2, 20_000)
+    assert (picks[:, 0] != picks[:, 1]).all() and np.abs(np.bincount(picks.ravel(), minlength=10) / 4000 - 1).max() < 0.1
     assert interchange.member_pool(members, df, "library").count() == 30
     with pytest.raises(ValueError):
         interchange.member_pool(members, df, "all")

@@ -174,6 +174,107 @@ def local_groups(x: np.ndarray, radius: float, block: int = 2048) -> np.ndarray:
     return forest.flatten()
 
 
+def _crowds(x: np.ndarray, radius: float, least: int, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Points around which at least ``least`` others lie within half the radius, densest first; what none of them covers."""
+    half, left, heads = (radius / 2) ** 2, np.arange(len(x)), []
+    while len(left) >= least and len(heads) < most:
+        inside = square_distances(x[left], x[left]) <= half
+        at = int(inside.sum(axis=1).argmax())
+        if inside[at].sum() < least:
+            break
+        heads.append(left[at])
+        left = left[~inside[at]]
+    return np.array(heads, dtype=np.int64), left
+
+
+def _bounded_groups(placed: DataFrame, n_features: int, radius: float, max_rows: int, seed: int) -> DataFrame:
+    """``cell`` (a name), ``id``, ``x``: the rows of each cell, cells of more than ``max_rows`` rows divided into smaller groups.
+
+    Two linked rows of a cell still share a group, or each is linked within its group to a row that both groups have.
+    A large cell is divided on the evidence of a bounded sample of it: around the heads of its crowds, and into smaller
+    cells for the rest.  A crowd's rows (within half the radius of its head) are all linked to the head, which stands in
+    every group of the crowd, so they can be divided at will; other rows within the radius of the head join one of those
+    groups, rows within one and a half radii meet all of the crowd.  What is still too large is compared in pairs of parts.
+    """
+    counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > max_rows).collect()}
+    named = lambda df: df.select(F.col("cell").cast("string").alias("cell"), "id", "x")
+    if not counts:
+        return named(placed)
+    spark, sample_rows = placed.sparkSession, 2048
+    large = placed.where(F.col("cell").isin(list(counts)))
+    scale, share = 1 << 30, F.lit(0)
+    for cell, n in counts.items():
+        share = F.when(F.col("cell") == cell, F.lit(min(1 << 30, (1 << 30) * sample_rows // n))).otherwise(share)
+    picked = large.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) < share).limit(2 * sample_rows * len(counts)).toArrow()
+    cells, ids, points = picked.column("cell").to_numpy(), picked.column("id").to_numpy(), matrix(picked.column("x"), n_features)
+    plan: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for cell, n in counts.items():
+        at = np.flatnonzero(cells == cell)
+        at = at[np.argsort(ids[at], kind="stable")]
+        heads, rest = _crowds(points[at], radius, max(16, len(at) // 50))
+        parts = int(np.clip(-(-4 * n * len(rest) // max(len(at), 1) // max_rows), 1, 256))
+        sub = kmeans.mini_batch(points[at][rest], parts, seed=seed) if len(rest) else np.zeros((1, n_features))
+        plan[cell] = ids[at][heads], points[at][heads], sub
+    shared = spark.sparkContext.broadcast(plan)
+    key = placed.schema["id"]
+    kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.StringType()), key, placed.schema["x"]])
+
+    def divide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                block = batch.slice(start, 2048)
+                where = block.column(0).to_numpy(zero_copy_only=False)
+                for cell in np.unique(where):
+                    own = np.flatnonzero(where == cell)
+                    piece = block.take(pa.array(own))
+                    x, who = matrix(piece.column(2), n_features), piece.column(1).to_numpy(zero_copy_only=False)
+                    head_ids, heads, sub = shared.value[int(cell)]
+                    found: list[tuple[np.ndarray, np.ndarray, str]] = []
+                    loose = np.ones(len(x), dtype=bool)
+                    if len(heads):
+                        d = np.sqrt(square_distances(x, heads))
+                        home = d.argmin(axis=1)
+                        member = d[np.arange(len(x)), home] <= radius / 2
+                        loose = ~member
+                        is_head = np.isin(who, head_ids)
+                        # a head sits at rounding distance 0 from itself, so it is a member of its own crowd
+                        found.append((np.flatnonzero(member & ~is_head), home[member & ~is_head], "member"))
+                        found.append((np.flatnonzero(member & is_head), home[member & is_head], "head"))
+                        elsewhere = home[:, None] != np.arange(len(heads))[None, :]
+                        elsewhere |= loose[:, None]
+                        found.append((*np.nonzero(elsewhere & (d <= radius * (1 + 1e-9))), "near"))
+                        found.append((*np.nonzero(elsewhere & (d > radius * (1 + 1e-9)) & (d <= 1.5 * radius * (1 + 1e-9))), "ring"))
+                    rows = np.flatnonzero(loose)
+                    if len(rows):
+                        d2 = square_distances(x[rows], sub)
+                        nearest_sub = d2.argmin(axis=1)
+                        apart = np.sqrt(square_distances(sub, sub))
+                        border = (d2 - d2[np.arange(len(rows)), nearest_sub][:, None]) / (2 * np.maximum(apart[nearest_sub], 1e-12))
+                        border[np.arange(len(rows)), nearest_sub] = 0
+                        r, c = np.nonzero(border <= radius * (1 + 1e-9) + 1e-9)
+                        found.append((rows[r], c, "loose"))
+                    for r, part, role in found:
+                        take = pa.array(r)
+                        yield pa.RecordBatch.from_arrays([piece.column(0).take(take), pa.array(np.asarray(part, dtype=np.int32)), pa.array([role] * len(r), pa.string()), piece.column(1).take(take), piece.column(2).take(take)], names=kind.names)
+
+    roles = cut(large.select("cell", "id", "x").mapInArrow(divide, kind))
+    held = {(r["cell"], r["part"], r["role"]): r["n"] for r in roles.groupBy("cell", "part", "role").agg(F.count("*").alias("n")).collect()}
+    chunks = lambda c, p, role: max(1, -(-held.get((c, p, role), 0) // max_rows))
+    plan_rows = [(c, p, role, chunks(c, p, "loose"), 0) if role == "loose" else (c, p, role, chunks(c, p, "member"), chunks(c, p, "ring")) for c, p, role in held]
+    sized = roles.join(F.broadcast(spark.createDataFrame(plan_rows, "cell int, part int, role string, a int, b int")), ["cell", "part", "role"])
+    one = lambda n: F.array(F.pmod(F.xxhash64(F.lit(seed), "id"), F.greatest(F.col(n), F.lit(1))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    # crowds: groups (chunk of members, chunk of the ring); loose rows: pairs of chunks i <= j
+    first = F.when(F.col("role").isin("member", "near"), one("a")).otherwise(every("a"))
+    second = F.when(F.col("role").isin("ring", "near"), one("b")).otherwise(every("b"))
+    crowd = sized.where("role != 'loose'").withColumn("i", F.explode(first)).withColumn("j", F.explode(second))
+    pairs = sized.where("role = 'loose'").withColumn("mine", one("a")[0]).withColumn("other", F.explode(every("a")))
+    pairs = pairs.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    named_group = lambda df, mark: df.select(F.concat_ws("-", F.lit(mark), "cell", "part", "i", "j").alias("cell"), "id", "x")
+    rest = named(placed.where(~F.col("cell").isin(list(counts))))
+    return rest.unionByName(named_group(crowd, "c")).unionByName(named_group(pairs, "l"))
+
+
 def linked_groups(
     vectors: DataFrame,
     n_features: int,
@@ -182,12 +283,14 @@ def linked_groups(
     hashing: FeatureHash,
     cell_rows: int = 400,
     max_cells: int = 1024,
+    max_rows: int = 20_000,
     seed: int = 1234,
 ) -> DataFrame:
     """``id``, ``group_id`` (the smallest id of its group) and ``group_size`` of every record of ``id``, ``x``.
 
     Two records are linked when their distance is at most ``radius``, a group is everything linked directly or through
-    others.  Copies of one vector are compared once.  An empty table gives no rows.
+    others.  Copies of one vector are compared once; no task compares more than about twice ``max_rows`` records, however
+    many of them crowd together.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     key = vectors.schema["id"].dataType
@@ -218,7 +321,7 @@ def linked_groups(
                     take = pa.array(row[b : b + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(cell[b : b + 4096].astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=kind.names)
 
-    placed = reps.select("id", "x", "h").mapInArrow(to_cells, kind)
+    placed = _bounded_groups(cut(reps.select("id", "x", "h").mapInArrow(to_cells, kind)), n_features, radius, max_rows, seed)
 
     def link(table: pa.Table) -> pa.Table:
         ids = table.column("id").combine_chunks()

@@ -141,6 +141,20 @@ def test_linked_groups(spark):
     assert clusters.linked_groups(df.limit(0), 8, 0.1, hashing=clusters.FeatureHash(list(range(8)))).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.004, 0.012, 0.03])
+def test_crowds_are_divided(spark, spread):
+    rng = np.random.default_rng(12)
+    crowd = 0.5 + spread * rng.normal(size=(900, 8)) / 8**0.5
+    ring = 0.5 + 0.08 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(150, 8)))
+    x = np.concatenate([crowd, ring, rng.uniform(size=(300, 8)), 0.5 + rng.uniform(-0.06, 0.06, size=(250, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(4)
+    label = clusters.local_groups(x, 0.06)
+    first = {g: int(np.flatnonzero(label == g)[0]) for g in set(label)}
+    for max_rows in (60, 200, 5000):
+        got = {r["id"]: r["group_id"] for r in clusters.linked_groups(df, 8, 0.06, hashing=clusters.FeatureHash(list(range(8))), cell_rows=700, max_rows=max_rows).collect()}
+        assert got == {i: first[g] for i, g in enumerate(label)}
+
+
 def test_feature_vectors(spark):
     rows = [(1, 0, 0.5, 1), (1, 1, 0.25, 1), (1, 0, 0.7, 2), (1, 0, 0.7, 2), (2, 0, 0.1, 1), (3, 0, 0.1, 1), (3, 1, 0.2, 1), (3, 1, None, 2), (4, 0, NAN, 1), (4, 1, 1.0, 1), (None, 0, 1.0, 1), (5, None, 1.0, 1), (5, 9, 1.0, 1)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "v int, s int, score double, t int, id string")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reelquilt.config import POOLING
+from reelquilt.plans.materialize import cut
 from reelquilt.plans.ranking import number_from_zero
 from reelquilt.schemas import require_columns
 
@@ -19,15 +20,75 @@ def pooled(score: Column, method: str = "percentile", percentile: float = 95) ->
     return {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}[method](score)
 
 
-def pool_scores(scores: DataFrame, method: str = "percentile", percentile: float = 95, *, group: str = "video_id", feature: str = "statement_index", value: str = "score") -> DataFrame:
+#: Groups with more rows than this are pooled by ranks: an exact percentile otherwise holds a group's values in one task.
+HOT_ROWS = 5_000_000
+_BINS = 4096
+
+
+def hot_percentiles(rows: DataFrame, p: float, hot: DataFrame, *, most: int = HOT_ROWS) -> DataFrame:
+    """Exact percentiles of very large groups: ``key, score`` for the groups of ``hot`` (``key, n, low, high``).
+
+    Each pass counts a group's values in equal bins (pre-aggregated before the shuffle) and keeps the stretch of bins that
+    holds the two ranks the percentile lies between, until what is left of a group is small or has one value only.
+    """
+    rank = F.col("n") - 1
+    hot = cut(hot.select("key", "low", "high", F.floor(rank * p).cast("long").alias("r0"), F.ceil(rank * p).cast("long").alias("r1"), (rank * p - F.floor(rank * p)).alias("w"), F.lit(0).cast("long").alias("below")))
+    rows = rows.join(F.broadcast(hot.select("key")), "key", "left_semi")
+    same = F.col("low") == F.col("high")
+    inside = F.col("v").between(F.col("low"), F.col("high"))
+    for _ in range(12):
+        placed = rows.join(F.broadcast(hot), "key").where(inside)
+        step = (F.col("high") - F.col("low")) / _BINS
+        place = F.when(same, F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / F.nullif(step, F.lit(0.0))).cast("int"), F.lit(_BINS - 1)))
+        bins = placed.groupBy("key", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        ahead = F.sum("n").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        at = bins.withColumn("upto", ahead).join(F.broadcast(hot.select("key", "r0", "r1", "w", "below")), "key")
+        held = at.where((F.col("below") + F.col("upto") > F.col("r0")) & (F.col("below") + F.col("upto") - F.col("n") <= F.col("r1")))
+        narrowed = held.groupBy("key", "r0", "r1", "w").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.min(F.col("below") + F.col("upto") - F.col("n")).alias("below"), F.sum("n").alias("left"))
+        narrowed = cut(narrowed)
+        hot = narrowed.select("key", "low", "high", "r0", "r1", "w", "below")
+        if narrowed.where((F.col("left") > most) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+    ranked = rows.join(F.broadcast(hot), "key").where(inside).groupBy("key", "v", "r0", "r1", "w", "below").agg(F.count("*").alias("n"))
+    upto = F.col("below") + F.sum("n").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranked.withColumn("upto", upto)
+    value = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("v")))
+    ends = ranked.groupBy("key", "w").agg(value("r0").alias("v0"), value("r1").alias("v1"))
+    return ends.select("key", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("w")).alias("score"))
+
+
+def pool_scores(
+    scores: DataFrame,
+    method: str = "percentile",
+    percentile: float = 95,
+    *,
+    group: str = "video_id",
+    feature: str = "statement_index",
+    value: str = "score",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """One row per group and feature: both keys and ``score``.
 
     Zero scores of undecodable frames take part like any others; null scores don't, a group with nothing else has a null
-    score.  NaN is an error of the data and is refused.
+    score.  NaN is an error of the data and is refused.  Percentiles and medians are exact however large a group is:
+    groups of more than ``hot_rows`` rows (looked for in the keys alone) go through :func:`hot_percentiles`.
     """
     require_columns(scores, [group, feature, value], "scores")
     checked = F.when(F.isnan(F.col(value).cast("double")), F.raise_error(F.lit("NaN score"))).otherwise(F.col(value).cast("double"))
-    return scores.groupBy(group, feature).agg(pooled(checked, method, percentile).alias("score"))
+    expression = pooled(checked, method, percentile)
+    if method in ("percentile", "median"):
+        # Both keys as one struct, which is never null itself, so that null keys are groups here too.
+        rows = scores.select(F.struct(F.col(group).alias("g"), F.col(feature).alias("f")).alias("key"), checked.alias("v"))
+        large = rows.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key").collect()
+        if large:
+            names = F.broadcast(scores.sparkSession.createDataFrame([(r["key"],) for r in large], rows.select("key").schema))
+            crowded = rows.where("v is not null").join(names, "key", "left_semi")
+            spans = crowded.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            hot = hot_percentiles(crowded, 0.5 if method == "median" else percentile / 100.0, spans, most=hot_rows)
+            cool = rows.join(names, "key", "left_anti").groupBy("key").agg(pooled(F.col("v"), method, percentile).alias("score"))
+            valueless = rows.join(names, "key", "left_semi").groupBy("key").agg(F.count("v").alias("n")).where("n = 0").select("key", F.lit(None).cast("double").alias("score"))
+            return cool.unionByName(hot).unionByName(valueless).select(F.col("key.g").alias(group), F.col("key.f").alias(feature), "score")
+    return scores.groupBy(group, feature).agg(expression.alias("score"))
 
 
 def video_index(rows: DataFrame, key: str = "video_id") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from reelquilt.functions.names import destination, frame_name, resolution_label, stem
+from reelquilt.plans.ranking import number_within
 from reelquilt.schemas import FRAMES, require_frames
 
 # Suffixes of media files (lower case only), and the height that an unknown source counts as.
@@ -189,8 +190,8 @@ def extract_frames(plan: DataFrame, provider: MediaProvider, fps: int = 3) -> Da
 
 def frame_index(frames: DataFrame) -> DataFrame:
     """``video_id, frame_idx, frame_path``: frames counted from 0 in the order of their paths."""
-    order = W.partitionBy("video_id").orderBy("frame_path")
-    return require_frames(frames.select("video_id", (F.row_number().over(order) - 1).cast("int").alias("frame_idx"), "frame_path"))
+    numbered = number_within(frames.select("video_id", "frame_path"), "video_id", "frame_path", "frame_idx")
+    return require_frames(numbered.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "frame_path"))
 
 
 def require_some_frames(frames: DataFrame) -> DataFrame:

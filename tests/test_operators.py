@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelquilt.config import PipelineConfig
 from reelquilt.operators import interchange, linalg, pooling, report, reweight, scoring, selection, strata
 from reelquilt.plans import pipeline
-from reelquilt.plans.ranking import number_from_zero
+from reelquilt.plans.ranking import number_from_zero, number_within
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RNG = np.random.default_rng(7)
@@ -43,6 +43,14 @@ def test_pooling(spark, method, fn):
     assert got == pytest.approx({k: fn(x) for k, x in values.items()})
 
 
+def test_hot_groups_are_pooled_exactly(spark):
+    values = {("a", 0): RNG.normal(size=20_000), ("a", 1): np.round(RNG.normal(size=9_000), 1), ("b", 0): np.full(3_000, 0.7), (None, 2): RNG.exponential(size=5_000) ** 8, ("c", None): RNG.normal(size=50), ("d", 3): np.r_[np.zeros(2_500), 1e9]}
+    df = frames(spark, [(v, i, s, float(x)) for (v, s), xs in values.items() for i, x in enumerate(xs)] + [("n", i, 1, None) for i in range(2_500)]).repartition(4)
+    for method, p in (("percentile", 95), ("percentile", 0), ("percentile", 100), ("median", 50)):
+        got = {(r["video_id"], r["statement_index"]): r["score"] for r in pooling.pool_scores(df, method, p, hot_rows=2_000).collect()}
+        assert got == pytest.approx({**{k: np.percentile(x, p) for k, x in values.items()}, ("n", 1): None})
+
+
 def test_failed_frames_count_and_nan_is_refused(spark):
     df = frames(spark, [("a", 0, 0, 0.0), ("a", 1, 0, 1.0), ("a", 2, 0, None)])
     assert pooling.pool_scores(df, "mean").first()["score"] == 0.5
@@ -71,6 +79,12 @@ def test_index_and_numbers(spark):
     assert number_from_zero(df.limit(0), "video_id", "n").count() == 0
 
 
+def test_large_groups_are_numbered_in_ranges(spark):
+    rows = [(g, f"{int(i):05d}") for g, n in (("a", 3000), ("b", 40), (None, 30), ("c", 1500)) for i in RNG.permutation(n)]
+    got = number_within(spark.createDataFrame(rows, "g string, p string").repartition(5), "g", "p", "n", hot_rows=1000).collect()
+    assert len(got) == len(rows) and all(int(r["p"]) == r["n"] for r in got)
+
+
 # --- scoring ---
 
 

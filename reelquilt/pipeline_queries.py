@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from reelquilt.functions.names import sanitize_name
@@ -35,18 +35,21 @@ def frame_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def video_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The newest score of each video and statement, where that isn't null."""
-    rows = table(spark, d, "video_scores")
-    newest = rows.groupBy("video_id", "video_idx", "statement_index").agg(F.max(F.struct("computed_at", "score")).alias("s"))
-    return newest.select("video_id", "video_idx", "statement_index", F.col("s.score").alias("score")).where("score is not null")
+    """The newest score of each video and statement, where that isn't null; of several as new the greatest.
+
+    Both aggregates run in hash tables after one shuffle by video.
+    """
+    keys = ["video_id", "video_idx", "statement_index"]
+    rows = table(spark, d, "video_scores").select(*keys, "computed_at", "score").repartition("video_id", "video_idx")
+    by_time = rows.groupBy(*keys, "computed_at").agg(F.max("score").alias("score"))
+    return by_time.groupBy(*keys).agg(F.max_by("score", "computed_at").alias("score")).where("score is not null")
 
 
 def complete_scores(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`video_scores` of the videos that have all statements."""
-    rows = video_scores(spark, d)
+    """:func:`video_scores` of the videos that have all statements; kept, as what follows reads it more than once."""
     n = table(spark, d, "statements").select(F.countDistinct("statement_index")).first()[0]
-    whole = rows.groupBy("video_idx").agg(F.count("*").alias("n")).where(F.col("n") == n).select("video_idx")
-    return rows.join(whole, "video_idx")
+    counted = video_scores(spark, d).withColumn("n", F.count("*").over(W.partitionBy("video_id", "video_idx")))
+    return cut(counted.where(F.col("n") == n).drop("n"))
 
 
 def embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +64,11 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "media_probe")
-    valid = rows.where((F.col("duration_s") > 0) & (F.col("duration_s") < float("inf")) & F.col("video_id").isNotNull())
-    return valid.groupBy("video_id").agg(F.max(F.struct("probed_at", "duration_s")).alias("s")).select("video_id", F.col("s.duration_s").alias("duration_s"))
+    """Newest valid duration of each video; of several as new the greatest."""
+    rows = table(spark, d, "media_probe").select("video_id", "probed_at", "duration_s")
+    valid = rows.where((F.col("duration_s") > 0) & (F.col("duration_s") < float("inf")) & F.col("video_id").isNotNull()).repartition("video_id")
+    by_time = valid.groupBy("video_id", "probed_at").agg(F.max("duration_s").alias("duration_s"))
+    return by_time.groupBy("video_id").agg(F.max_by("duration_s", "probed_at").alias("duration_s"))
 
 
 CTE = {

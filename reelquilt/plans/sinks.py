@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,17 @@ def safe_path(root: str, path: str) -> str:
     if whole == base or os.path.commonpath([whole, base]) != base or base == os.sep and whole == os.sep:
         raise ValueError(f"{path} isn't inside {root}")
     return whole
+
+
+def output_root(videos_folder: str) -> str:
+    """Where a run writes: ``output`` beside the folder of videos."""
+    return os.path.join(os.path.dirname(os.path.abspath(videos_folder)), "output")
+
+
+def delete_folder(root: str, path: str) -> bool:
+    """Delete a folder inside the root (:func:`safe_path`); False if there is none."""
+    folder = safe_path(root, path)
+    if not os.path.isdir(folder):
+        return False
+    shutil.rmtree(folder)
+    return True

@@ -175,3 +175,7 @@ def test_sinks(spark, tmp_path):
     for bad in (tmp_path, tmp_path.parent, str(tmp_path) + "-other", tmp_path / ".." / "x"):
         with pytest.raises(ValueError):
             sinks.safe_path(str(tmp_path), str(bad))
+    (tmp_path / "old").mkdir()
+    assert sinks.delete_folder(str(tmp_path), str(tmp_path / "old")) and not (tmp_path / "old").exists()
+    assert not sinks.delete_folder(str(tmp_path), str(tmp_path / "old"))
+    assert sinks.output_root("/a/b/videos") == "/a/b/output"

@@ -252,7 +252,7 @@ def nearest(
             at = cut(at)
         held = {r["shard"]: r["n"] for r in own.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         asks = {r["shard"]: r["n"] for r in at.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        plan = [(s, -(-m // chunk_rows), -(-asks.get(s, 0) // (8 * chunk_rows)) or 1) for s, m in held.items()]
+        plan = [(s, -(-m // chunk_rows), -(-asks.get(s, 0) // chunk_rows) or 1) for s, m in held.items()]
         plan = spark.createDataFrame(plan or [(0, 1, 1)], "shard int, chunks int, salts int")
         chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
         salt = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("salts"))

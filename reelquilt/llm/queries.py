@@ -39,7 +39,7 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def _score_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
     statements = sorted(r[0] for r in table(spark, d, "statements").select("statement_index").distinct().collect())
-    rows = table(spark, d, "video_scores").select("video_idx", "statement_index", "score", "computed_at").distinct()
+    rows = table(spark, d, "video_scores").select("video_idx", "statement_index", "score", "computed_at")  # the newest row counts, repeated or not
     return clusters.feature_vectors(rows, statements, record="video_idx", feature="statement_index", value="score", version="computed_at"), statements
 
 

@@ -32,7 +32,7 @@ class DyadicSketch:
     low: float = -1.0
     high: float = 1.0
     bits: int = 12
-    width: int = 512
+    width: int = 1024
     depth: int = 3
     seed: int = 1234
 
@@ -128,9 +128,15 @@ def _groups(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _small(cells: int) -> bool:
+    """Counters of usual shapes are numbered by two bytes, which halves what is shuffled."""
+    return cells <= 1 << 15
+
+
 def _lists(keys: np.ndarray, sums: np.ndarray, groups: int, cells: int) -> tuple[pa.ListArray, pa.ListArray]:
+    kind = np.int16 if _small(cells) else np.int32
     offsets = pa.array(np.searchsorted(keys, np.arange(groups + 1) * cells).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array((keys % cells).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(sums))
+    return pa.ListArray.from_arrays(offsets, pa.array((keys % cells).astype(kind))), pa.ListArray.from_arrays(offsets, pa.array(sums))
 
 
 def sketch(rows: DataFrame, keys: Sequence[str], value: str, *, shape: DyadicSketch = DyadicSketch(), weight: str | None = None, sort: bool = True) -> DataFrame:
@@ -144,7 +150,7 @@ def sketch(rows: DataFrame, keys: Sequence[str], value: str, *, shape: DyadicSke
     own = rows.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__value"), (F.coalesce(F.col(weight), F.lit(0)) if weight else F.lit(1)).cast("long").alias("__weight"))
     if sort:
         own = own.sortWithinPartitions(*keys)
-    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.ShortType() if _small(shape.cells) else T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
     names = [*keys, "n", "cells", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,7 @@ def _merge_stream(batches: Iterable[pa.RecordBatch], n_keys: int, cells: int) ->
         lists, sums = part.column(n_keys + 1), part.column(n_keys + 2)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         owner = np.repeat(group, sizes)
-        k, s = merged(owner * cells + pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_flatten(sums).to_numpy(zero_copy_only=False).astype(np.int64))
+        k, s = merged(owner * cells + pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(sums).to_numpy(zero_copy_only=False).astype(np.int64))
         n = np.zeros(len(heads), dtype=np.int64)
         np.add.at(n, group, part.column(n_keys).to_numpy(zero_copy_only=False))
         return [part.column(i).take(pa.array(heads)) for i in range(n_keys)], n, k, s

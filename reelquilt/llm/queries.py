@@ -12,7 +12,7 @@ from reelquilt.sources.tables import table
 
 EMBEDDING_SIZE = 32
 LINK_RADIUS = 0.06
-SCORE_SHAPE = quantiles.DyadicSketch(low=-1.0, high=1.0, bits=12, width=512, depth=3)
+SCORE_SHAPE = quantiles.DyadicSketch(low=-1.0, high=1.0, bits=12, width=1024, depth=3)
 
 
 def _embedding(spark: SparkSession, d: str) -> DataFrame:

@@ -65,13 +65,16 @@ def pool_scores(
     group: str = "video_id",
     feature: str = "statement_index",
     value: str = "score",
+    keys: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per group and feature: both keys and ``score``.
 
     Zero scores of undecodable frames take part like any others; null scores don't, a group with nothing else has a null
     score.  NaN is an error of the data and is refused.  Percentiles and medians are exact however large a group is:
-    groups of more than ``hot_rows`` rows (looked for in the keys alone) go through :func:`hot_percentiles`.
+    groups of more than ``hot_rows`` rows go through :func:`hot_percentiles`.  They are looked for in the two columns of
+    ``keys``, a table that has at least the groups' rows (such as the stored one that ``scores`` are the distinct rows of,
+    which is cheaper to count); by default ``scores`` themselves.
     """
     require_columns(scores, [group, feature, value], "scores")
     checked = F.when(F.isnan(F.col(value).cast("double")), F.raise_error(F.lit("NaN score"))).otherwise(F.col(value).cast("double"))
@@ -79,7 +82,8 @@ def pool_scores(
     if method in ("percentile", "median"):
         # Both keys as one struct, which is never null itself, so that null keys are groups here too.
         rows = scores.select(F.struct(F.col(group).alias("g"), F.col(feature).alias("f")).alias("key"), checked.alias("v"))
-        large = rows.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key").collect()
+        counted = rows if keys is None else keys.select(F.struct(F.col(group).alias("g"), F.col(feature).alias("f")).alias("key"))
+        large = counted.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key").collect()
         if large:
             names = F.broadcast(scores.sparkSession.createDataFrame([(r["key"],) for r in large], rows.select("key").schema))
             crowded = rows.where("v is not null").join(names, "key", "left_semi")

@@ -161,7 +161,7 @@ def score_frames(spark, d):
 
 
 def _pool(method):
-    return lambda spark, d: rounded(pooling.pool_scores(frame_scores(spark, d), method))
+    return lambda spark, d: rounded(pooling.pool_scores(frame_scores(spark, d), method, keys=table(spark, d, "frame_scores")))
 
 
 def pool_events(spark, d):
@@ -195,7 +195,7 @@ def statement_preference(spark, d):
 
 def pooled_best(spark, d):
     """The engine's flagship: frames pooled to videos by their 95th percentile, each video with its best statement."""
-    return rounded(pooling.best_statements(pooling.pool_scores(frame_scores(spark, d))))
+    return rounded(pooling.best_statements(pooling.pool_scores(frame_scores(spark, d), keys=table(spark, d, "frame_scores"))))
 
 
 # --- reweighting ------------------------------------------------------------------------------------------------------

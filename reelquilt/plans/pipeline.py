@@ -42,7 +42,7 @@ def encode_and_score(run: Run, frames: DataFrame, statements: DataFrame, factory
     require_frames(frames)
     features = cut(scoring.encode_frames(frames, factory))
     texts = cut(scoring.encode_statements(statements, factory))
-    run.tables.update(frames=frames, statements=statements, frame_features=features, statement_features=texts, frame_scores=scoring.score_frames(features, texts))
+    run.tables.update(frames=frames, statements=statements, frame_features=features, statement_features=texts, frame_scores=cut(scoring.score_frames(features, texts)))
     counted = features.agg(F.count_if("ok").alias("ok"), F.count("*").alias("n")).first()
     run.numbers.update(n_frames_encoded=counted["ok"], n_frames=counted["n"])
     return run

@@ -61,9 +61,9 @@ def hashed(rows: DataFrame, hashing: FeatureHash) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def fit_cells(rows: DataFrame, size: int, k: int, *, n: int, rounds: int = 4, seed: int = 1234) -> np.ndarray:
+def fit_cells(rows: DataFrame, size: int, k: int, *, rounds: int = 4, seed: int = 1234) -> np.ndarray:
     """Centres of k-means over ``h``: k-means|| seeds, then distributed Lloyd rounds."""
-    return kmeans.refine(rows, "h", size, kmeans.seeds(rows, "h", size, k, n=n, seed=seed), rounds)
+    return kmeans.refine(rows, "h", size, kmeans.seeds(rows, "h", size, k, seed=seed), rounds)
 
 
 def describe(rows: DataFrame, size: int, centres: np.ndarray, *, typical: int = 5) -> DataFrame:
@@ -81,7 +81,7 @@ def labelled_clusters(vectors: DataFrame, hashing: FeatureHash, labels: DataFram
     share of the members that carry it.  A member with several labels counts for each of them; null labels don't count.
     """
     rows = cut(hashed(vectors, hashing))
-    centres = fit_cells(rows, hashing.size, k, n=0, rounds=rounds, seed=seed)
+    centres = fit_cells(rows, hashing.size, k, rounds=rounds, seed=seed)
     if not len(centres):
         centres = np.zeros((1, hashing.size))
     placed = kmeans.assign(rows.select("id", "h"), "h", hashing.size, centres).select("id", "cluster")
@@ -300,7 +300,7 @@ def linked_groups(
     if not n:
         return spark.createDataFrame([], T.StructType([T.StructField("id", key), T.StructField("group_id", key), T.StructField("group_size", T.LongType())]))
     k = int(np.clip(n // cell_rows, 1, max_cells))
-    centres = fit_cells(reps, hashing.size, k, n=n, rounds=2, seed=seed)
+    centres = fit_cells(reps, hashing.size, k, rounds=2, seed=seed)
     shared = spark.sparkContext.broadcast(centres)
     reach = radius * hashing.norm * (1 + 1e-9) + 1e-9
     kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("id", key), T.StructField("x", T.ArrayType(T.DoubleType()))])

@@ -58,7 +58,7 @@ def mini_batch(points: np.ndarray, k: int, *, batch: int = 1024, steps: int = 10
     return centres
 
 
-def seeds(rows: DataFrame, vector: str, size: int, k: int, *, n: int, rounds: int = 4, oversample: float = 2.0, seed: int = 1234) -> np.ndarray:
+def seeds(rows: DataFrame, vector: str, size: int, k: int, *, rounds: int = 4, oversample: float = 2.0, seed: int = 1234) -> np.ndarray:
     """k-means||: every round draws rows with a chance proportional to their cost, about ``oversample * k`` a round.
 
     What reaches the driver is bounded by the rounds times a few ``k``; candidates are weighted by the rows nearest to

@@ -9,6 +9,7 @@ of languages (a Viterbi path with a price for every change) divides each text in
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -40,8 +41,8 @@ _LETTER: np.ndarray | None = None
 
 
 def clean_text(text: str) -> str:
-    """Lower case, without page heads and with words split at a line end put together."""
-    text = "\n" + text
+    """Lower case, composed, without page heads and with words split at a line end put together."""
+    text = "\n" + unicodedata.normalize("NFC", text)
     if _RUNNING_HEAD.search(text):
         text = _RUNNING_HEAD.sub("\n", text)
     if "-\n" in text or "­" in text or "- \n" in text:

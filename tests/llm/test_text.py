@@ -123,6 +123,11 @@ def test_passages(spark, model):
     assert langid.detect_languages(df.limit(0), model).count() == 0
 
 
+def test_decomposed_letters_are_one_word(model):
+    plain = SAMPLES["fr"]
+    assert list(langid.passages(model, [unicodedata.normalize("NFD", plain)])) == list(langid.passages(model, [plain]))
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in (" DE ", "de-CH", "fr_XX", "english", "und", "", None, "it", "en\n")], "l string")
     assert [r[0] for r in df.select(langid.label_language(F.col("l"))).collect()] == ["de", "de", "fr", None, None, None, None, "it", "en"]

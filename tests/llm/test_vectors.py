@@ -186,7 +186,7 @@ def test_clusters_are_described(spark):
 def test_seeding_finds_far_groups(spark):
     x = np.concatenate([clustered(9, 3000, 4, centres=1, spread=0.01), clustered(10, 6, 4, centres=1, spread=0.01) + 50])
     df = spark.createDataFrame([(v.tolist(),) for v in x], "h array<double>")
-    centres = kmeans.refine(df, "h", 4, kmeans.seeds(df, "h", 4, 2, n=len(x)), 3)
+    centres = kmeans.refine(df, "h", 4, kmeans.seeds(df, "h", 4, 2), 3)
     assert len(centres) == 2 and np.abs(centres.max()) > 40
 
 

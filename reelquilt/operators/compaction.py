@@ -139,3 +139,8 @@ def compact(spark: SparkSession, source: str, target: str, *, kind: str = "parqu
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, where, _ = _folder(spark, path)
+    fs.delete(where, True)

@@ -60,8 +60,8 @@ class NgramModel:
     weights: np.ndarray
 
 
-def _chars(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all texts as one array of codes (0 for anything else) with 4 zeros around each text; text starts."""
+def _chars(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters as one array of codes, the same with 0 for what isn't a letter, 4 zeros around each text; text starts."""
     global _LETTER
     if _LETTER is None:
         _LETTER = _letter_table()
@@ -69,7 +69,7 @@ def _chars(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.cumsum(np.fromiter((0, *(len(t) + 4 for t in texts)), dtype=np.int64, count=len(texts) + 1)) + 4
     low = np.minimum(codes, _BMP - 1).astype(np.uint16)
-    return np.where(_LETTER[low], low, 0).astype(np.uint32), starts
+    return low, np.where(_LETTER[low], low, 0).astype(np.uint32), starts
 
 
 def _hashes(codes: np.ndarray, centres: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -84,8 +84,10 @@ def _hashes(codes: np.ndarray, centres: np.ndarray, order: int, buckets: int) ->
 
 
 def words_of(texts: Sequence[str], orders: Sequence[int], buckets: int):
-    """Words of cleaned texts: word index of each letter, hash arrays by order, word count and first word by text."""
-    codes, starts = _chars(texts)
+    """Words of cleaned texts: places of letters, the first letter of each word, the first word of each text, hashes of the
+    letters' n-grams by order, and per word the numbers that follow it: (on its line, all).
+    """
+    raw, codes, starts = _chars(texts)
     letter = codes != 0
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -93,7 +95,24 @@ def words_of(texts: Sequence[str], orders: Sequence[int], buckets: int):
     word_starts = np.flatnonzero(first)
     owner = np.searchsorted(centres, word_starts)
     bounds = np.searchsorted(word_starts, starts)
-    return centres, owner, bounds, [_hashes(codes, centres, n, buckets) for n in orders]
+    return centres, owner, bounds, [_hashes(codes, centres, n, buckets) for n in orders], _numbers(raw, letter, word_starts, starts, bounds)
+
+
+def _numbers(raw: np.ndarray, letter: np.ndarray, word_starts: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Runs of digits after each word of their text: those before the next line break, and all."""
+    digit = (raw >= 48) & (raw <= 57)
+    head = digit.copy()
+    head[1:] &= ~digit[:-1] & ~letter[:-1]
+    at = np.flatnonzero(head)
+    word = np.searchsorted(word_starts, at, side="right") - 1
+    text = np.searchsorted(starts, at, side="right") - 1
+    own = (word >= 0) & (text < len(bounds) - 1)
+    own[own] &= word[own] >= bounds[text[own]]
+    at, word = at[own], word[own]
+    lines = np.flatnonzero(raw == 10)
+    beside = np.searchsorted(lines, at) == np.searchsorted(lines, word_starts[word])
+    n = len(word_starts)
+    return np.stack([np.bincount(word[beside], minlength=n), np.bincount(word, minlength=n)], axis=1)
 
 
 def fit(
@@ -124,7 +143,7 @@ def fit(
     for _ in range(rounds if cleaned else 0):
         counts[:] = 0
         for low, high in blocks:  # block by block, so that memory doesn't grow with the sample
-            centres, owner, bounds, hashes = words_of(cleaned[low:high], orders, buckets)
+            centres, owner, bounds, hashes, _ = words_of(cleaned[low:high], orders, buckets)
             if not len(owner):
                 continue
             if model is None:
@@ -196,8 +215,12 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def passages(model: NgramModel, texts: Sequence[str | None]) -> Iterator[list[tuple[str, int, float]]]:
-    """For each text its passages as (language, words, confidence), in order; none for a text without a letter."""
+    """For each text its passages as (language, words, confidence), in order; none for a text without a letter.
+
+    Words are runs of letters and runs of digits; languages are told by the letters alone.
+    """
     scores: list[np.ndarray] = []
+    numbers: list[np.ndarray] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     block: list[str] = []
     owners: list[int] = []
@@ -206,8 +229,9 @@ def passages(model: NgramModel, texts: Sequence[str | None]) -> Iterator[list[tu
     def flush() -> None:
         nonlocal size
         if block:
-            centres, owner, bounds, hashes = words_of(block, model.orders, model.buckets)
+            centres, owner, bounds, hashes, beside = words_of(block, model.orders, model.buckets)
             scores.append(word_scores(model, centres, owner, hashes))
+            numbers.append(beside)
             np.add.at(counts, owners, np.diff(bounds))
             block.clear(), owners.clear()
             size = 0
@@ -230,6 +254,10 @@ def passages(model: NgramModel, texts: Sequence[str | None]) -> Iterator[list[tu
     sums = np.add.reduceat(total, heads, axis=0) if len(heads) else total
     sizes = np.diff(np.append(heads, len(path)))
     sums = sums / np.sqrt(np.maximum(sizes, 1))[:, None]
+    if len(heads):  # numbers are words too: all within a passage, and those on the line of its last word
+        beside = np.concatenate(numbers)
+        last = heads + sizes - 1
+        sizes = sizes + np.add.reduceat(beside[:, 1], heads) - beside[last, 1] + beside[last, 0]
     odds = np.exp(sums - sums.max(axis=1, keepdims=True)) if len(sums) else sums
     picked = path[heads]
     sure = odds[np.arange(len(heads)), picked] / odds.sum(axis=1) if len(heads) else odds[:, 0]

@@ -128,6 +128,14 @@ def test_decomposed_letters_are_one_word(model):
     assert list(langid.passages(model, [unicodedata.normalize("NFD", plain)])) == list(langid.passages(model, [plain]))
 
 
+def test_numbers_are_words(model):
+    text = "12 " + SAMPLES["de"] + " 7, 1999 und 5\n\n[3] " + SAMPLES["fr"] + " 159'250\n\n4."
+    words = lambda t: len(re.findall(r"[^\W\d_]+", t))
+    got = [(lang, n) for lang, n, _ in next(iter(langid.passages(model, [text])))]
+    assert got == [("de", words(SAMPLES["de"]) + 4), ("fr", words(SAMPLES["fr"]) + 2)]
+    assert [n for _, n, _ in next(iter(langid.passages(model, ["und 7"])))] == [2]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in (" DE ", "de-CH", "fr_XX", "english", "und", "", None, "it", "en\n")], "l string")
     assert [r[0] for r in df.select(langid.label_language(F.col("l"))).collect()] == ["de", "de", "fr", None, None, None, None, "it", "en"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -47,12 +49,17 @@ def video_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def complete_scores(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`video_scores` of the videos that have all statements; kept, as what follows reads it more than once."""
+    """:func:`video_scores` of the videos that have all statements, which the given SQL (CTE ``cs``) is limited to; kept, as what follows reads it more than once."""
     n = table(spark, d, "statements").select(F.countDistinct("statement_index")).first()[0]
     counted = video_scores(spark, d).withColumn("n", F.count("*").over(W.partitionBy("video_id", "video_idx")))
     return cut(counted.where(F.col("n") == n).drop("n"))
 
 
+def all_scores(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`video_scores` of all videos, kept; a missing score counts as 0 where vectors are made (``linalg.packed``)."""
+    return cut(video_scores(spark, d))
+
+
 def embedding(spark: SparkSession, d: str) -> DataFrame:
     """Usable vectors: of full size, not all zero, each once."""
     rows = table(spark, d, "embedding").select("video_idx", "z").where((F.size("z") == EMBEDDING_SIZE) & F.exists("z", lambda x: x != 0))
@@ -202,32 +209,32 @@ def pooled_best(spark, d):
 
 
 def _center(mode):
-    return lambda spark, d: rounded(reweight.center_scores(complete_scores(spark, d).select("video_idx", "statement_index", "score"), mode))
+    return lambda spark, d, scores=complete_scores: rounded(reweight.center_scores(scores(spark, d).select("video_idx", "statement_index", "score"), mode))
 
 
-def _moments(spark, d):
-    vectors, columns = linalg.packed(complete_scores(spark, d))
+def _moments(spark, d, scores):
+    vectors, columns = linalg.packed(scores(spark, d))
     return linalg.moments(vectors, "x", len(columns)), columns
 
 
-def gram_matrix(spark, d):
-    got, columns = _moments(spark, d)
+def gram_matrix(spark, d, scores=complete_scores):
+    got, columns = _moments(spark, d, scores)
     return rounded(linalg.long_matrix(spark, got.gram, columns, columns, ("i", "j", "value")))
 
 
-def covariance_matrix(spark, d):
-    got, columns = _moments(spark, d)
+def covariance_matrix(spark, d, scores=complete_scores):
+    got, columns = _moments(spark, d, scores)
     return rounded(linalg.long_matrix(spark, got.covariance, columns, columns, ("i", "j", "value")))
 
 
-def weights_full_rank(spark, d):
-    """With both means taken out and all components kept, communality is each column's variance."""
-    centered = cut(reweight.center_scores(complete_scores(spark, d), "both"))
+def weights_full_rank(spark, d, scores=complete_scores):
+    """With both means taken out and all components kept, communality is each column's variance (of complete videos)."""
+    centered = cut(reweight.center_scores(scores(spark, d), "both"))
     return rounded(reweight.statement_weights(centered, variance_threshold=2.0, component_cap=10_000).table(spark))
 
 
 def _weights(spark, d):
-    return reweight.statement_weights(cut(reweight.center_scores(complete_scores(spark, d), "col")))
+    return reweight.statement_weights(cut(reweight.center_scores(all_scores(spark, d), "col")))
 
 
 def weights_default(spark, d):
@@ -238,8 +245,8 @@ def spectrum(spark, d):
     return rounded(_weights(spark, d).spectrum(spark))
 
 
-def weighted_scores(spark, d):
-    centered = cut(reweight.center_scores(complete_scores(spark, d), "both"))
+def weighted_scores(spark, d, scores=complete_scores):
+    centered = cut(reweight.center_scores(scores(spark, d), "both"))
     weights = reweight.statement_weights(centered, variance_threshold=2.0, component_cap=10_000).table(spark)
     return rounded(reweight.apply_weights(centered.select("video_idx", "statement_index", "score"), weights))
 
@@ -248,7 +255,7 @@ def weighted_scores(spark, d):
 
 
 def built_embedding(spark, d):
-    centered = cut(reweight.center_scores(complete_scores(spark, d), "col"))
+    centered = cut(reweight.center_scores(all_scores(spark, d), "col"))
     z, _ = strata.build_embedding(centered)
     return rounded(report.components(z))
 
@@ -384,12 +391,17 @@ QUERIES = {
     **{f.__name__: f for f in (zscored, prototype_cosine, prototype_coverage, stratum_centroids, component_statistics, component_correlation, top_loadings)},
     **{f.__name__: f for f in (compilation_members, compilation_durations, usage_counts, pool_reference, compilation_metrics, interchangeability, pipeline_run)},
 }
+#: Given SQL limits these to complete videos; each has a twin over all videos.
+COMPLETE_ONLY = (*(f"center_{m}" for m in ("none", "col", "row", "both")), "gram_matrix", "covariance_matrix", "weights_full_rank", "weighted_scores")
+QUERIES |= {f"{name}_all": partial(QUERIES[name], scores=all_scores) for name in COMPLETE_ONLY}
 
 R = lambda x: f"round({x} + {NUDGE!r}, {DIGITS}) + 0.0"
 _POOL = lambda agg: f"WITH {CTE['fs']} SELECT video_id, statement_index, {R(agg)} AS score FROM fs GROUP BY ALL"
 _CENTER = lambda x: f"WITH {CTE['vs']}, {CTE['cs']} SELECT video_idx, statement_index, {R(x)} AS score FROM cs"
+_CENTER_ALL = lambda x: f"WITH {CTE['vs']} SELECT video_idx, statement_index, {R(x)} AS score FROM vs"
 _ROW, _COL, _ALL = "avg(score) OVER (PARTITION BY video_idx)", "avg(score) OVER (PARTITION BY statement_index)", "avg(score) OVER ()"
 _FULL = f"WITH {CTE['vs']}, {CTE['cs']}, b AS (SELECT video_idx, statement_index, score - {_ROW} - {_COL} + {_ALL} AS score FROM cs), c AS (SELECT statement_index, var_pop(score) AS communality FROM b GROUP BY 1), w AS (SELECT *, sqrt(sqrt(communality + 1e-8)) AS raw FROM c), ww AS (SELECT statement_index, raw / (avg(raw) OVER () + 1e-8) AS weight, communality FROM w)"
+_DENSE = f"WITH {CTE['vs']}, dense AS (SELECT v.video_idx, s.statement_index, coalesce(vs.score, 0) AS score FROM (SELECT DISTINCT video_idx FROM vs) v CROSS JOIN (SELECT DISTINCT statement_index FROM vs) s LEFT JOIN vs ON vs.video_idx = v.video_idx AND vs.statement_index = s.statement_index)"
 _COSD = "greatest(0.0, least(2.0, 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))))"
 
 
@@ -444,6 +456,12 @@ ORACLE = {
     "center_both": _CENTER(f"score - {_ROW} - {_COL} + {_ALL}"),
     "gram_matrix": f"WITH {CTE['vs']}, {CTE['cs']} SELECT a.statement_index AS i, b.statement_index AS j, {R('sum(a.score * b.score)')} AS value FROM cs a JOIN cs b USING (video_idx) GROUP BY ALL",
     "covariance_matrix": f"WITH {CTE['vs']}, {CTE['cs']} SELECT a.statement_index AS i, b.statement_index AS j, {R('covar_pop(a.score, b.score)')} AS value FROM cs a JOIN cs b USING (video_idx) GROUP BY ALL",
+    "center_none_all": _CENTER_ALL("score"),
+    "center_col_all": _CENTER_ALL(f"score - {_COL}"),
+    "center_row_all": _CENTER_ALL(f"score - {_ROW}"),
+    "center_both_all": _CENTER_ALL(f"score - {_ROW} - {_COL} + {_ALL}"),
+    "gram_matrix_all": f"{_DENSE} SELECT a.statement_index AS i, b.statement_index AS j, {R('sum(a.score * b.score)')} AS value FROM dense a JOIN dense b USING (video_idx) GROUP BY ALL",
+    "covariance_matrix_all": f"{_DENSE} SELECT a.statement_index AS i, b.statement_index AS j, {R('covar_pop(a.score, b.score)')} AS value FROM dense a JOIN dense b USING (video_idx) GROUP BY ALL",
     "weights_full_rank": f"{_FULL} SELECT statement_index, {R('weight')} AS weight, {R('communality')} AS communality FROM ww",
     "weighted_scores": f"{_FULL} SELECT video_idx, statement_index, {R('score * weight')} AS score FROM b JOIN ww USING (statement_index)",
     "farthest_first_order": f"{FF_CTE} SELECT DISTINCT CAST(k AS INTEGER) AS prototype_id, CAST(pick AS BIGINT) AS video_idx FROM ff",

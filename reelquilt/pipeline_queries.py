@@ -7,9 +7,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from reelquilt.functions.names import sanitize_name
+from reelquilt.functions.names import sanitize_name, stem
 from reelquilt.functions.vectors import l2_normalize
 from reelquilt.operators import interchange, linalg, pooling, report, reweight, scoring, selection, strata
+from reelquilt.operators.compaction import frame_of_path
 from reelquilt.plans import pipeline
 from reelquilt.plans.materialize import cut
 from reelquilt.plans.ranking import number_from_zero
@@ -72,8 +73,8 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    """Newest valid duration of each video; of several as new the greatest."""
-    rows = table(spark, d, "media_probe").select("video_id", "probed_at", "duration_s")
+    """Newest valid duration of each video; of several as new the greatest.  The stem of the path is the video where the id is missing."""
+    rows = table(spark, d, "media_probe").select(F.coalesce("video_id", stem(F.col("path"))).alias("video_id"), "probed_at", "duration_s")
     valid = rows.where((F.col("duration_s") > 0) & (F.col("duration_s") < float("inf")) & F.col("video_id").isNotNull()).repartition("video_id")
     by_time = valid.groupBy("video_id", "probed_at").agg(F.max("duration_s").alias("duration_s"))
     return by_time.groupBy("video_id").agg(F.max_by("duration_s", "probed_at").alias("duration_s"))
@@ -137,12 +138,18 @@ def _frames(spark, d):
     return table(spark, d, "frames").select("video_id", "frame_path").where("video_id is not null").distinct()
 
 
-def frame_index(spark, d):
-    return media.frame_index(_frames(spark, d))
+def _all_frames(spark, d):
+    """Frames with the video that the file name gives where the id is missing."""
+    video, _ = frame_of_path(F.col("frame_path"))
+    return table(spark, d, "frames").select(F.coalesce("video_id", video).alias("video_id"), "frame_path").where("video_id is not null").distinct()
 
 
-def frames_summary(spark, d):
-    return rounded(pooling.frames_per_video(_frames(spark, d)))
+def frame_index(spark, d, frames=_frames):
+    return media.frame_index(frames(spark, d))
+
+
+def frames_summary(spark, d, frames=_frames):
+    return rounded(pooling.frames_per_video(frames(spark, d)))
 
 
 def video_index(spark, d):
@@ -394,6 +401,8 @@ QUERIES = {
 #: Given SQL limits these to complete videos; each has a twin over all videos.
 COMPLETE_ONLY = (*(f"center_{m}" for m in ("none", "col", "row", "both")), "gram_matrix", "covariance_matrix", "weights_full_rank", "weighted_scores")
 QUERIES |= {f"{name}_all": partial(QUERIES[name], scores=all_scores) for name in COMPLETE_ONLY}
+#: Given SQL limits these to rows with a video id; the twins also take the video from the file name.
+QUERIES |= {f"{f.__name__}_all": partial(f, frames=_all_frames) for f in (frame_index, frames_summary)}
 
 R = lambda x: f"round({x} + {NUDGE!r}, {DIGITS}) + 0.0"
 _POOL = lambda agg: f"WITH {CTE['fs']} SELECT video_id, statement_index, {R(agg)} AS score FROM fs GROUP BY ALL"
@@ -422,6 +431,7 @@ _SWEEP = (
 _CORR = f"WITH {CTE['vs']}, {CTE['e']}, {CTE['dims']}, c AS (SELECT statement_index, CAST(j AS INTEGER) AS component, covar_pop(score, v) / nullif(stddev_pop(score) * stddev_pop(v), 0) AS correlation FROM vs JOIN dims USING (video_idx) GROUP BY ALL)"
 _PLAN = "WITH p AS (SELECT path, nullif(arg_max(row(height), probed_at)[1], 0) AS h FROM media_probe GROUP BY path)"
 _POOLSQL = f"WITH {CTE['e']}, {CTE['m']}, pool AS (SELECT * FROM e WHERE video_idx IN (SELECT video_idx FROM m)), pd AS (SELECT video_idx, unnest(range(32)) AS j, unnest(z) AS v FROM pool), ref AS (SELECT list(a ORDER BY j) AS mu, sum(s) AS var FROM (SELECT j, avg(v) AS a, var_pop(v) AS s FROM pd GROUP BY j))"
+_NAMED = r"""WITH named AS (SELECT DISTINCT coalesce(video_id, nullif(regexp_extract(lower(regexp_replace(regexp_replace(regexp_extract(frame_path, '([^/\\]*)$', 1), '\.[A-Za-z0-9]+\s*$', ''), '\s*\(\d+\)$', '')), '^(.+)_\d+$', 1), '')) AS video_id, frame_path FROM frames)"""
 
 ORACLE = {
     "statements_flatten": "SELECT CAST(row_number() OVER (ORDER BY seen, statement_index) - 1 AS INTEGER) AS statement_index, category, statement FROM (SELECT *, min(statement_index) OVER (PARTITION BY category) AS seen FROM statements)",
@@ -432,6 +442,8 @@ ORACLE = {
     "media_plan_uniform": f"{_PLAN}, t AS (SELECT max(h) AS h FROM p) SELECT path, CAST(t.h AS INTEGER) AS encode_height, t.h IS NOT NULL AND t.h IS DISTINCT FROM p.h AS scale, t.h || 'p' AS resolution FROM p, t",
     "frame_index": "SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_path) - 1 AS INTEGER) AS frame_idx, frame_path FROM (SELECT DISTINCT video_id, frame_path FROM frames WHERE video_id IS NOT NULL)",
     "frames_summary": f"WITH s AS (SELECT video_id, count(DISTINCT frame_path) AS n FROM frames WHERE video_id IS NOT NULL GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_frames, count(*) AS n_videos, {R('avg(n)')} AS mean_frames, {R('median(n)')} AS median_frames, min(n) AS min_frames, max(n) AS max_frames, {R('quantile_cont(n, 0.25)')} AS p25_frames, {R('quantile_cont(n, 0.5)')} AS p50_frames, {R('quantile_cont(n, 0.75)')} AS p75_frames FROM s",
+    "frame_index_all": f"{_NAMED} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_path) - 1 AS INTEGER) AS frame_idx, frame_path FROM named WHERE video_id IS NOT NULL",
+    "frames_summary_all": f"{_NAMED}, s AS (SELECT video_id, count(DISTINCT frame_path) AS n FROM named WHERE video_id IS NOT NULL GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_frames, count(*) AS n_videos, {R('avg(n)')} AS mean_frames, {R('median(n)')} AS median_frames, min(n) AS min_frames, max(n) AS max_frames, {R('quantile_cont(n, 0.25)')} AS p25_frames, {R('quantile_cont(n, 0.5)')} AS p50_frames, {R('quantile_cont(n, 0.75)')} AS p75_frames FROM s",
     "video_index": "SELECT video_id, CAST(row_number() OVER (ORDER BY video_id) - 1 AS INTEGER) AS video_idx FROM (SELECT DISTINCT video_id FROM frame_scores WHERE score IS NOT NULL AND video_id IS NOT NULL)",
     "l2_normalized": f"WITH {CTE['e']} SELECT video_idx, CAST(unnest(range(32)) AS INTEGER) AS j, {R('unnest(list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))))')} AS v FROM e",
     "score_frames": f"""WITH r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT label, unnest(range(len(x))) AS j, unnest(x) AS v FROM r),

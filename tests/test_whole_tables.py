@@ -54,3 +54,22 @@ def test_full_rank_weights_of_all_videos(spark, scores):
     assert told["weight"].to_numpy() == pytest.approx(w, abs=2e-6)
     got = pipeline_queries.QUERIES["weighted_scores_all"](spark, D).toPandas().pivot(index="video_idx", columns="statement_index", values="score")
     assert got.to_numpy() == pytest.approx(both * w, abs=1e-5, nan_ok=True)
+
+
+STEM = r"regexp_replace(regexp_extract(path, '([^/\\]*)$', 1), '\.[^.]*$', '')"
+
+
+def test_durations_of_rows_without_an_id(spark, con):
+    valid = f"SELECT video_id IS NULL AS bare, coalesce(video_id, {STEM}) AS video_id, duration_s, probed_at FROM media_probe WHERE duration_s > 0 AND isfinite(duration_s)"
+    want = dict(con.execute(f"SELECT video_id, arg_max(duration_s, (probed_at, duration_s)) FROM ({valid}) GROUP BY 1").fetchall())
+    only_bare = {v for (v,) in con.execute(f"SELECT video_id FROM ({valid}) GROUP BY 1 HAVING bool_and(bare)").fetchall()}
+    got = {r["video_id"]: r["duration_s"] for r in pipeline_queries.durations(spark, D).collect()}
+    assert only_bare and only_bare <= set(got) and got == want
+    rows = pipeline_queries.embedding(spark, D)
+    timed = pipeline_queries.numbered_videos(spark, D, rows).where("duration_s is not null")
+    assert only_bare & {r["video_id"] for r in timed.select("video_id").collect()}
+
+
+def test_frames_without_an_id(spark, con):
+    lost = {p for (p,) in con.execute("SELECT frame_path FROM frames GROUP BY 1 HAVING count(video_id) = 0").fetchall()}
+    assert lost and lost <= {r["frame_path"] for r in pipeline_queries.QUERIES["frame_index_all"](spark, D).collect()}

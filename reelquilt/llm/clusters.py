@@ -35,15 +35,23 @@ class FeatureHash:
         self.norm = float(np.linalg.norm(self.matrix, 2)) if features else 1.0
 
 
-def feature_vectors(rows: DataFrame, features: list, *, record: str, feature: str, value: str, version: str | None = None) -> DataFrame:
+def feature_vectors(rows: DataFrame, features: list, *, record: str, feature: str, value: str, version: str | None = None, complete: bool = True) -> DataFrame:
     """``id`` and ``x``, the values of ``features`` in their order, for records that have a value for every one of them.
 
+    Without ``complete`` for all records that have any value; for one that is missing stands the feature's mean over all
+    records that have it (0 if none has).
+
     Of several rows of a record and feature the one with the greatest ``version`` counts (then the greatest value); if its
     value is null or NaN the record has none.  Null records and features, and features not listed, are ignored.
     """
     own = rows.select(F.col(record).alias("id"), F.col(feature).alias("f"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v"), (F.col(version) if version else F.lit(0)).alias("t"))
     own = own.where(F.col("id").isNotNull() & F.col("f").isin(features)).repartition("id")
     newest = own.groupBy("id", "f").agg(F.max(F.struct("t", "v")).alias("s")).select("id", "f", F.col("s.v").alias("v")).where("v is not null")
+    if not complete:
+        newest = cut(newest)
+        means = {e["f"]: e["v"] for e in newest.groupBy("f").agg(F.avg("v").alias("v")).collect()}
+        held = newest.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
+        return held.select("id", F.array(*(F.coalesce(F.try_element_at("m", F.lit(f)), F.lit(means.get(f, 0.0))) for f in features)).alias("x"))
     packed = newest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("f")).alias("i"), "v"))).alias("s"))
     return packed.where(F.size("s") == len(features)).select("id", F.transform("s", lambda e: e["v"]).alias("x"))
 

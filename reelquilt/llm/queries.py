@@ -37,10 +37,10 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.nearest(_embedding(spark, d), 5, item="video_idx", vector="z", size=EMBEDDING_SIZE, queries=F.col("id") % 20 == 0, factor=0.6)
 
 
-def _score_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+def _score_vectors(spark: SparkSession, d: str, *, complete: bool = True) -> tuple[DataFrame, list[int]]:
     statements = sorted(r[0] for r in table(spark, d, "statements").select("statement_index").distinct().collect())
     rows = table(spark, d, "video_scores").select("video_idx", "statement_index", "score", "computed_at")  # the newest row counts, repeated or not
-    return clusters.feature_vectors(rows, statements, record="video_idx", feature="statement_index", value="score", version="computed_at"), statements
+    return clusters.feature_vectors(rows, statements, record="video_idx", feature="statement_index", value="score", version="computed_at", complete=complete), statements
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +129,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """k-means clusters of the videos' scores: size, most typical members and how the strata label them."""
-    vectors, statements = _score_vectors(spark, d)
+    """k-means clusters of all videos by their scores: size, most typical members and how the strata label them.
+
+    A missing score counts as the statement's mean.
+    """
+    vectors, statements = _score_vectors(spark, d, complete=False)
     names = table(spark, d, "video_scores").select("video_id", F.col("video_idx").alias("id")).distinct()
     labels = table(spark, d, "strata").select("video_id", F.col("stratum_id").alias("label")).distinct().join(names, "video_id").select("id", "label")
     return clusters.labelled_clusters(vectors, clusters.FeatureHash(statements), labels, k=64)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelquilt.llm import clusters, kmeans, neighbors, subset
+from reelquilt.llm import clusters, kmeans, neighbors, queries, subset
 from reelquilt.llm.components import components
 
 NAN, INF = float("nan"), float("inf")
@@ -169,6 +169,19 @@ def test_hashing_bound():
     assert (np.linalg.norm((a - b) @ h.matrix, axis=1) <= h.norm * np.linalg.norm(a - b, axis=1) + 1e-9).all()
 
 
+def test_incomplete_records_have_vectors(spark):
+    df = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.5), (2, 0, 0.4), (2, 1, None), (3, 1, 0.7), (4, 0, NAN), (None, 0, 9.0), (3, 9, 1.0)], "v int, s int, score double")
+    got = {r["id"]: r["x"] for r in clusters.feature_vectors(df, [1, 0, 5], record="v", feature="s", value="score", complete=False).collect()}
+    assert set(got) == {1, 2, 3}
+    assert [got[i] for i in (1, 2, 3)] == [pytest.approx(x) for x in ([0.5, 0.2, 0.0], [0.6, 0.4, 0.0], [0.7, 0.3, 0.0])]
+
+
+def test_every_video_is_in_a_cluster(spark):
+    d = "/root/testdata/sf0.001"
+    videos = spark.read.parquet(f"{d}/video_scores.parquet").where("score is not null").select("video_idx").distinct().count()
+    assert queries.p3_clusters(spark, d).agg(F.sum("n_members")).first()[0] == videos
+
+
 def test_clusters_are_described(spark):
     x = clustered(8, 300, 5, centres=4, spread=0.01)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")

@@ -93,12 +93,15 @@ def _start(rows: DataFrame, index: str, vector: str, at: int):
 def farthest_first(rows: DataFrame, k: int, *, init: str = "medoid", seed: int | None = None, index: str = "video_idx", vector: str = "z") -> list[tuple[int, np.ndarray]]:
     """Ordered prototypes (index, vector): the row nearest the mean (or a seeded random one), then always the farthest row.
 
-    ``k`` is clamped to the number of rows; ``index`` counts them from 0.  One pass over the rows per prototype.
+    ``k`` is clamped to the number of rows; ``index`` counts them from 0.  One pass over the rows per prototype; what is
+    more than MAX_PROTOTYPES after that is a ValueError.
     """
     if init not in INITS:
         raise ValueError(f"unknown init {init!r}; one of {', '.join(INITS)}")
     n = rows.count()
-    k = min(k, n, MAX_PROTOTYPES)
+    k = min(k, n)
+    if k > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
     if k < 1:
         return []
     size = vector_size(rows, vector)
@@ -206,7 +209,10 @@ class Strata:
 
 
 def make_strata(rows: DataFrame, *, n_strata: int | str = "auto", init: str = "medoid", min_stratum_size: int = 3, target_max_dist: float = 0.35, cap: int | None = None, seed: int | None = None, index: str = "video_idx", vector: str = "z") -> Strata:
-    """Strata of an embedding, their number given (clamped to the rows) or chosen by the sweep up to ``cap`` (20)."""
+    """Strata of an embedding, their number given (clamped to the rows) or chosen by the sweep up to ``cap`` (20).
+
+    More than MAX_PROTOTYPES are a ValueError.
+    """
     n = rows.count()
     limit = min(n, 20) if cap is None else min(n, cap)
     if n_strata != "auto":

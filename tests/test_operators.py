@@ -217,6 +217,14 @@ def test_strata_edges(spark):
     assert strata.farthest_first(many.limit(0), 3) == []
 
 
+def test_too_many_strata_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(strata, "MAX_PROTOTYPES", 6)
+    rows = vectors(spark, RNG.normal(size=(9, 2)))
+    assert strata.make_strata(rows, n_strata=6, cap=5).strata.select("stratum_id").distinct().count() == 6
+    with pytest.raises(ValueError, match="more than 6 prototypes"):
+        strata.make_strata(rows, n_strata=7, cap=5)
+
+
 def test_kcenter(spark):
     z = RNG.normal(size=(50, 4))
     df = vectors(spark, z)

@@ -56,6 +56,12 @@ def feature_vectors(rows: DataFrame, features: list, *, record: str, feature: st
     return packed.where(F.size("s") == len(features)).select("id", F.transform("s", lambda e: e["v"]).alias("x"))
 
 
+def inverse_deviations(rows: DataFrame, size: int) -> list[float]:
+    """A weight per feature of ``x``, so that squared differences count by their inverse variance; 1 without variance."""
+    found = {r["j"]: r["s"] for r in rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.stddev_pop("v").alias("s")).collect()}
+    return [1.0 / found[j] if found.get(j, 0.0) > 1e-12 else 1.0 for j in range(size)]
+
+
 def hashed(rows: DataFrame, hashing: FeatureHash) -> DataFrame:
     """Adds ``h``, the hashed weighted vector of ``x``."""
     shared = rows.sparkSession.sparkContext.broadcast(hashing.matrix)
@@ -75,8 +81,16 @@ def fit_cells(rows: DataFrame, size: int, k: int, *, rounds: int = 4, seed: int
 
 
 def describe(rows: DataFrame, size: int, centres: np.ndarray, *, typical: int = 5) -> DataFrame:
-    """``cluster``, ``n_members``, ``radius`` (greatest distance) and ``typical``, the ids nearest to the centre, nearest first."""
-    own = cut(kmeans.assign(rows.select("id", "h"), "h", size, centres).drop("h"))
+    """``cluster``, ``n_members``, ``radius`` (greatest distance) and ``typical``, the ids nearest to the centre, nearest first.
+
+    ``h`` decides on the cluster; distances are those of ``x`` from the members' mean, so that features which share a
+    bucket still count apart.
+    """
+    placed = cut(kmeans.assign(rows.select("id", "x", "h"), "h", size, centres).select("id", "x", "cluster"))
+    means = placed.select("cluster", F.posexplode("x").alias("j", "v")).groupBy("cluster", "j").agg(F.avg("v").alias("v"))
+    means = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda e: e["v"]).alias("mean"))
+    square = F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+    own = cut(placed.join(F.broadcast(means), "cluster").select("id", "cluster", F.sqrt(square).alias("distance")))
     near = own.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy("distance", "id"))).where(F.col("r") <= typical)
     tops = near.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda e: e["id"]).alias("typical"))
     return own.groupBy("cluster").agg(F.count("*").alias("n_members"), F.max("distance").alias("radius")).join(tops, "cluster")

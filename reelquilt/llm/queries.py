@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelquilt.llm import clusters, langid, leakage, mixing, neighbors, packing, quantiles, runs, subset
 from reelquilt.llm.vectors import usable
+from reelquilt.plans.materialize import cut
 from reelquilt.sources.tables import table
 
 EMBEDDING_SIZE = 32
@@ -131,12 +132,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means clusters of all videos by their scores: size, most typical members and how the strata label them.
 
-    A missing score counts as the statement's mean.
+    A missing score counts as the statement's mean.  Statements are weighted by their inverse variance where clusters are
+    formed; radius and typical members are measured on the scores themselves.
     """
     vectors, statements = _score_vectors(spark, d, complete=False)
+    vectors = cut(vectors)
+    weights = clusters.inverse_deviations(vectors, len(statements))
     names = table(spark, d, "video_scores").select("video_id", F.col("video_idx").alias("id")).distinct()
     labels = table(spark, d, "strata").select("video_id", F.col("stratum_id").alias("label")).distinct().join(names, "video_id").select("id", "label")
-    return clusters.labelled_clusters(vectors, clusters.FeatureHash(statements), labels, k=64)
+    return clusters.labelled_clusters(vectors, clusters.FeatureHash(statements, weights), labels, k=64)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

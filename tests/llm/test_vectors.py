@@ -196,6 +196,24 @@ def test_clusters_are_described(spark):
     assert none.count() == 0
 
 
+def test_features_in_one_bucket_count_apart(spark):
+    hashing = clusters.FeatureHash(list(range(24)))
+    at = np.abs(hashing.matrix).argmax(axis=1)
+    a, b = next((i, j) for i in range(24) for j in range(i) if at[i] == at[j] and (hashing.matrix[i] == -hashing.matrix[j]).all())
+    x = np.zeros((4, 24))
+    x[0, [a, b]] = 1.0  # the two cancel out in the hashed vector
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    labels = spark.createDataFrame([(0, 1)], "id int, label int")
+    (got,) = clusters.labelled_clusters(vectors, hashing, labels, k=1).collect()
+    assert got["radius"] == pytest.approx(0.75 * 2**0.5) and got["typical"] == [1, 2, 3, 0]
+
+
+def test_weights_are_inverse_deviations(spark):
+    x = np.random.default_rng(14).normal(size=(200, 3)) * [0.01, 1.0, 0.0]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    assert clusters.inverse_deviations(vectors, 3) == pytest.approx([1 / x[:, 0].std(), 1 / x[:, 1].std(), 1.0])
+
+
 def test_seeding_finds_far_groups(spark):
     x = np.concatenate([clustered(9, 3000, 4, centres=1, spread=0.01), clustered(10, 6, 4, centres=1, spread=0.01) + 50])
     df = spark.createDataFrame([(v.tolist(),) for v in x], "h array<double>")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 LANGUAGES = ("en", "de", "fr", "it", "es")
 
@@ -277,25 +277,22 @@ def label_language(label, languages: Sequence[str] = LANGUAGES):
 def fit_on_sample(
     docs: DataFrame, *, text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = 400, max_chars: int = 200_000, **fit_options
 ) -> NgramModel:
-    """Fit on at most about ``per_language`` rows (twice that for certain) of each language that labels name.
+    """Fit on at most ``per_language`` distinct texts of each language that labels name.
 
-    The rows are those with the smallest hashes of their texts, so that the sample is the same however the table is
-    partitioned.  Texts longer than ``max_chars`` aren't taken as examples (they are scored like any others).
+    They are those with the smallest hashes among the language's texts, so that the sample is the same however the table
+    is partitioned, and copies of a text count once.  Only hashes are compared; the texts taken are read in a second
+    pass.  Texts longer than ``max_chars`` aren't taken as examples (they are scored like any others).
     """
     rows = docs.select(F.col(text).alias("t"), label_language(F.col(label), languages).alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r["l"]: r["n"] for r in docs.select(label_language(F.col(label), languages).alias("l")).where("l is not null").groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = rows.where(F.col("l").isNotNull() & F.length("t").between(1, max_chars)).withColumn("h", F.xxhash64("t"))
+    ranked = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language)
+    limits = {r["l"]: r["h"] for r in ranked.groupBy("l").agg(F.max("h").alias("h")).collect()}
+    if not limits:
         return fit([], [], languages=languages, **fit_options)
-    scale = 1 << 30
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("l") == lang, F.lit(min(scale, scale * per_language // n))).otherwise(share)
-    picked = (
-        rows.where(F.length("t").between(1, max_chars) & (F.pmod(F.xxhash64("t"), F.lit(scale)) < share))
-        .limit(2 * per_language * len(counts))
-        .toArrow()
-    )
+    taken = F.lit(False)
+    for lang, most in limits.items():
+        taken = taken | ((F.col("l") == lang) & (F.col("h") <= most))
+    picked = rows.where(taken).select("t", "l").distinct().toArrow()
     order = sorted(zip(picked["t"].to_pylist(), picked["l"].to_pylist()))
     return fit([t for t, _ in order], [list(languages).index(lang) for _, lang in order], languages=languages, **fit_options)
 

@@ -141,6 +141,19 @@ def test_labels(spark):
     assert [r[0] for r in df.select(langid.label_language(F.col("l"))).collect()] == ["de", "de", "fr", None, None, None, None, "it", "en"]
 
 
+def test_sample_is_bounded_for_each_language(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, **_: taken.append(sorted(zip(texts, labels))))
+    texts = [(f"text {i}", "en" if i % 2 else "de") for i in range(80)]
+    df = spark.createDataFrame(texts, "text string, lang string").withColumn("h", F.xxhash64("text"))
+    copied = df.where("lang = 'en'").orderBy("h").first()["text"]  # certain to be in the sample
+    docs = df.select("text", "lang").union(spark.createDataFrame([(copied, "en")] * 400, "text string, lang string"))
+    for parts in (1, 7):
+        langid.fit_on_sample(docs.repartition(parts), per_language=10)
+    want = sorted((r["text"], langid.LANGUAGES.index(r["lang"])) for lang in ("de", "en") for r in df.where(F.col("lang") == lang).orderBy("h").limit(10).collect())
+    assert taken == [want, want]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fitted = langid.fit_on_sample(docs.where("pmod(doc_id, 2) = 0"), per_language=60)

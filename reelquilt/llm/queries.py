@@ -82,7 +82,7 @@ def _durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    """Every piece of every video with its compilation; pieces of one video never share one."""
+    """Every piece of every video with its compilation; pieces of one video never share one, as all but the last fill one each.  No conflict arises."""
     return packing.pack(_durations(spark, d), 65.0, item="video_id", size="duration_s", cluster="video_id")
 
 

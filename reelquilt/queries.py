@@ -36,7 +36,17 @@ def p6_compacted(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(done[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-QUERIES = {"p6_found": p6_found, "p6_plan": p6_plan, "p6_compacted": p6_compacted}
+def p6_combined(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`p6_compacted` of ``frame_scores`` as 256 small files (fewer where it has fewer rows), so that files are combined."""
+    folder = f"{ensure_checkpoint_dir(spark)}/small-{uuid.uuid4().hex}"
+    try:
+        table(spark, d, "frame_scores").repartition(256).write.parquet(f"{folder}/frame_scores.parquet")
+        return p6_compacted(spark, folder)
+    finally:
+        compaction.remove_folder(spark, folder)
+
+
+QUERIES = {"p6_found": p6_found, "p6_plan": p6_plan, "p6_compacted": p6_compacted, "p6_combined": p6_combined}
 
 ORACLE = {
     "p6_found": r"""

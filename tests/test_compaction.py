@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from reelquilt import queries
 from reelquilt.operators import compaction
 
 SCHEMA = "file_id long, frame_path string, n_bytes long, status string"
@@ -61,3 +62,10 @@ def test_failed_verification_leaves_everything(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="other rows"):
         compaction.compact(spark, source, target)
     assert sorted(os.listdir(tmp_path)) == ["small"] and spark.conf.get("spark.sql.files.maxPartitionBytes", None) == before
+
+
+def test_registered_query_combines_files(spark):
+    d = "/root/testdata/sf0.001"
+    (got,) = queries.queries()["p6_combined"](spark, d).collect()
+    assert got["rows"] == spark.read.parquet(f"{d}/frame_scores.parquet").count()
+    assert got["files_before"] > 100 and got["files_after"] == 1

@@ -9,7 +9,7 @@ radius times the hashing's norm, and a record is also sent to every other cell w
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from reelquilt.llm import kmeans
 from reelquilt.llm.components import components
 from reelquilt.llm.vectors import lists, matrix, square_distances
+from reelquilt.operators import linalg
 from reelquilt.plans.materialize import cut
 
 
@@ -58,8 +59,8 @@ def feature_vectors(rows: DataFrame, features: list, *, record: str, feature: st
 
 def inverse_deviations(rows: DataFrame, size: int) -> list[float]:
     """A weight per feature of ``x``, so that squared differences count by their inverse variance; 1 without variance."""
-    found = {r["j"]: r["s"] for r in rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.stddev_pop("v").alias("s")).collect()}
-    return [1.0 / found[j] if found.get(j, 0.0) > 1e-12 else 1.0 for j in range(size)]
+    variances = np.diag(linalg.moments(rows, "x", size).covariance)
+    return [float(v**-0.5) if v > 1e-24 else 1.0 for v in np.where(variances > 1e-13 * (1 + variances), variances, 0.0)]
 
 
 def hashed(rows: DataFrame, hashing: FeatureHash) -> DataFrame:
@@ -196,6 +197,16 @@ def local_groups(x: np.ndarray, radius: float, block: int = 2048) -> np.ndarray:
     return forest.flatten()
 
 
+def _borders(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far each row is from the border between its own (nearest) centre's cell and each other's; 0 for its own."""
+    d = square_distances(x, centres)
+    home = d.argmin(axis=1)
+    apart = np.sqrt(square_distances(centres, centres))
+    border = (d - d[np.arange(len(d)), home][:, None]) / (2 * np.maximum(apart[home], 1e-12))
+    border[np.arange(len(d)), home] = 0
+    return border
+
+
 def _crowds(x: np.ndarray, radius: float, least: int, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Points around which at least ``least`` others lie within half the radius, densest first; what none of them covers."""
     half, left, heads = (radius / 2) ** 2, np.arange(len(x)), []
@@ -209,91 +220,103 @@ def _crowds(x: np.ndarray, radius: float, least: int, most: int = 32) -> tuple[n
     return np.array(heads, dtype=np.int64), left
 
 
-def _bounded_groups(placed: DataFrame, n_features: int, radius: float, max_rows: int, seed: int) -> DataFrame:
+def _fit_division(points: np.ndarray, ids: np.ndarray, n: int, radius: float, max_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a cell of ``n`` rows is divided, by a sample of it: ids and vectors of its crowds' heads, centres for the rest."""
+    order = np.argsort(ids, kind="stable")
+    ids, points = ids[order], points[order]
+    heads, rest = _crowds(points, radius, max(16, len(ids) // 50))
+    parts = int(np.clip(-(-4 * n * len(rest) // max(len(ids), 1) // max_rows), 1, 256))
+    return ids[heads], points[heads], kmeans.mini_batch(points[rest], parts, seed=seed) if len(rest) else np.zeros((1, points.shape[1]))
+
+
+def _roles(x: np.ndarray, who: np.ndarray, head_ids: np.ndarray, heads: np.ndarray, sub: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """(rows, part, role) of some rows of a cell that is divided around ``heads`` and into the cells of ``sub``."""
+    reach = radius * (1 + 1e-9)
+    loose = np.ones(len(x), dtype=bool)
+    if len(heads):
+        d = np.sqrt(square_distances(x, heads))
+        home = d.argmin(axis=1)
+        member = d[np.arange(len(x)), home] <= radius / 2
+        loose = ~member
+        is_head = np.isin(who, head_ids)
+        # a head sits at rounding distance 0 from itself, so it is a member of its own crowd
+        yield np.flatnonzero(member & ~is_head), home[member & ~is_head], "member"
+        yield np.flatnonzero(member & is_head), home[member & is_head], "head"
+        elsewhere = (home[:, None] != np.arange(len(heads))[None, :]) | loose[:, None]
+        yield *np.nonzero(elsewhere & (d <= reach)), "near"
+        yield *np.nonzero(elsewhere & (d > reach) & (d <= 1.5 * reach)), "ring"
+    rows = np.flatnonzero(loose)
+    if len(rows):
+        r, c = np.nonzero(_borders(x[rows], sub) <= reach + 1e-9)
+        yield rows[r], c, "loose"
+
+
+def _bounded_groups(placed: DataFrame, n_features: int, radius: float, max_rows: int, seed: int, sample_rows: int = 2048, chunk_rows: int = 65_536) -> DataFrame:
     """``cell`` (a name), ``id``, ``x``: the rows of each cell, cells of more than ``max_rows`` rows divided into smaller groups.
 
     Two linked rows of a cell still share a group, or each is linked within its group to a row that both groups have.
-    A large cell is divided on the evidence of a bounded sample of it: around the heads of its crowds, and into smaller
-    cells for the rest.  A crowd's rows (within half the radius of its head) are all linked to the head, which stands in
-    every group of the crowd, so they can be divided at will; other rows within the radius of the head join one of those
-    groups, rows within one and a half radii meet all of the crowd.  What is still too large is compared in pairs of parts.
+    A large cell is divided on the evidence of a sample of about ``sample_rows`` of its rows, fitted in a task of its own:
+    around the heads of its crowds, and into smaller cells (a second level of k-means) for the rest.  A crowd's rows
+    (within half the radius of its head) are all linked to the head, which stands in every group of the crowd, so they can
+    be divided at will; other rows within the radius of the head join one of those groups, rows within one and a half
+    radii meet all of the crowd.  What is still too large is compared in pairs of parts.  Plans stay in the cluster: a
+    cell's own goes to the tasks that divide its rows, ``chunk_rows`` in each.
     """
-    counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > max_rows).collect()}
     named = lambda df: df.select(F.col("cell").cast("string").alias("cell"), "id", "x")
-    if not counts:
+    counts = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > max_rows))
+    if counts.isEmpty():
         return named(placed)
-    spark, sample_rows = placed.sparkSession, 2048
-    large = placed.where(F.col("cell").isin(list(counts)))
-    scale, share = 1 << 30, F.lit(0)
-    for cell, n in counts.items():
-        share = F.when(F.col("cell") == cell, F.lit(min(1 << 30, (1 << 30) * sample_rows // n))).otherwise(share)
-    picked = large.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) < share).limit(2 * sample_rows * len(counts)).toArrow()
-    cells, ids, points = picked.column("cell").to_numpy(), picked.column("id").to_numpy(), matrix(picked.column("x"), n_features)
-    plan: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for cell, n in counts.items():
-        at = np.flatnonzero(cells == cell)
-        at = at[np.argsort(ids[at], kind="stable")]
-        heads, rest = _crowds(points[at], radius, max(16, len(at) // 50))
-        parts = int(np.clip(-(-4 * n * len(rest) // max(len(at), 1) // max_rows), 1, 256))
-        sub = kmeans.mini_batch(points[at][rest], parts, seed=seed) if len(rest) else np.zeros((1, n_features))
-        plan[cell] = ids[at][heads], points[at][heads], sub
-    shared = spark.sparkContext.broadcast(plan)
+    counts = F.broadcast(counts)  # one row per cell, of which there are at most rows / max_rows
+    scale = 1 << 30
+    large = placed.join(counts, "cell")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) <= F.floor(F.lit(float(scale * sample_rows)) / F.col("n"))
     key = placed.schema["id"]
+    numbers = T.ArrayType(T.DoubleType())
+    plan_kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("head_ids", T.ArrayType(key.dataType)), T.StructField("heads", numbers), T.StructField("sub", numbers)])
+
+    def fit(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks()
+        n = table.column("n")[0].as_py()
+        head_ids, heads, sub = _fit_division(matrix(table.column("x"), n_features), ids.to_numpy(zero_copy_only=False), n, radius, max_rows, seed)
+        return pa.table([table.column("cell").slice(0, 1), pa.array([n]), pa.array([head_ids], pa.list_(ids.type)), pa.array([heads.ravel()]), pa.array([sub.ravel()])], names=plan_kind.names)
+
+    plans = large.where(drawn).groupBy("cell").applyInArrow(fit, plan_kind)
+    chunks = F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int")
+    plans = plans.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
+    spread = large.select("cell", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), chunks).cast("int").alias("chunk"), "id", "x")
     kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.StringType()), key, placed.schema["x"]])
 
-    def divide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                block = batch.slice(start, 2048)
-                where = block.column(0).to_numpy(zero_copy_only=False)
-                for cell in np.unique(where):
-                    own = np.flatnonzero(where == cell)
-                    piece = block.take(pa.array(own))
-                    x, who = matrix(piece.column(2), n_features), piece.column(1).to_numpy(zero_copy_only=False)
-                    head_ids, heads, sub = shared.value[int(cell)]
-                    found: list[tuple[np.ndarray, np.ndarray, str]] = []
-                    loose = np.ones(len(x), dtype=bool)
-                    if len(heads):
-                        d = np.sqrt(square_distances(x, heads))
-                        home = d.argmin(axis=1)
-                        member = d[np.arange(len(x)), home] <= radius / 2
-                        loose = ~member
-                        is_head = np.isin(who, head_ids)
-                        # a head sits at rounding distance 0 from itself, so it is a member of its own crowd
-                        found.append((np.flatnonzero(member & ~is_head), home[member & ~is_head], "member"))
-                        found.append((np.flatnonzero(member & is_head), home[member & is_head], "head"))
-                        elsewhere = home[:, None] != np.arange(len(heads))[None, :]
-                        elsewhere |= loose[:, None]
-                        found.append((*np.nonzero(elsewhere & (d <= radius * (1 + 1e-9))), "near"))
-                        found.append((*np.nonzero(elsewhere & (d > radius * (1 + 1e-9)) & (d <= 1.5 * radius * (1 + 1e-9))), "ring"))
-                    rows = np.flatnonzero(loose)
-                    if len(rows):
-                        d2 = square_distances(x[rows], sub)
-                        nearest_sub = d2.argmin(axis=1)
-                        apart = np.sqrt(square_distances(sub, sub))
-                        border = (d2 - d2[np.arange(len(rows)), nearest_sub][:, None]) / (2 * np.maximum(apart[nearest_sub], 1e-12))
-                        border[np.arange(len(rows)), nearest_sub] = 0
-                        r, c = np.nonzero(border <= radius * (1 + 1e-9) + 1e-9)
-                        found.append((rows[r], c, "loose"))
-                    for r, part, role in found:
-                        take = pa.array(r)
-                        yield pa.RecordBatch.from_arrays([piece.column(0).take(take), pa.array(np.asarray(part, dtype=np.int32)), pa.array([role] * len(r), pa.string()), piece.column(1).take(take), piece.column(2).take(take)], names=kind.names)
-
-    roles = cut(large.select("cell", "id", "x").mapInArrow(divide, kind))
-    held = {(r["cell"], r["part"], r["role"]): r["n"] for r in roles.groupBy("cell", "part", "role").agg(F.count("*").alias("n")).collect()}
-    chunks = lambda c, p, role: max(1, -(-held.get((c, p, role), 0) // max_rows))
-    plan_rows = [(c, p, role, chunks(c, p, "loose"), 0) if role == "loose" else (c, p, role, chunks(c, p, "member"), chunks(c, p, "ring")) for c, p, role in held]
-    sized = roles.join(F.broadcast(spark.createDataFrame(plan_rows, "cell int, part int, role string, a int, b int")), ["cell", "part", "role"])
-    one = lambda n: F.array(F.pmod(F.xxhash64(F.lit(seed), "id"), F.greatest(F.col(n), F.lit(1))).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    def divide(rows: pa.Table, plan: pa.Table) -> pa.Table:
+        head_ids, heads, sub = np.zeros(0), np.zeros((0, n_features)), np.zeros((1, n_features))
+        if plan.num_rows:
+            head_ids, heads, sub = (np.array(plan.column(c)[0].as_py() or [], dtype=None if c == "head_ids" else np.float64) for c in ("head_ids", "heads", "sub"))
+            heads, sub = heads.reshape(-1, n_features), sub.reshape(-1, n_features)
+        out = []
+        own = pa.table([rows.column(c) for c in ("cell", "id", "x")], names=["cell", "id", "x"]).combine_chunks()
+        for start in range(0, own.num_rows, 2048):
+            piece = own.slice(start, 2048)
+            for r, part, role in _roles(matrix(piece.column("x"), n_features), piece.column("id").to_numpy(), head_ids, heads, sub, radius):
+                take = pa.array(r)
+                out.append(pa.table([piece.column("cell").take(take), pa.array(np.asarray(part, dtype=np.int32)), pa.array([role] * len(r), pa.string()), piece.column("id").take(take), piece.column("x").take(take)], names=kind.names))
+        return pa.concat_tables(out)
+
+    roles = cut(spread.groupBy("cell", "chunk").cogroup(plans.groupBy("cell", "chunk")).applyInArrow(divide, kind))
+    # only parts with more than max_rows rows of a role, so at most rows / max_rows of them, are divided further
+    held = roles.groupBy("cell", "part").agg(*(F.count_if(F.col("role") == role).alias(role) for role in ("loose", "member", "ring")))
+    parts_of = lambda c: F.ceil(F.col(c) / F.lit(max_rows)).cast("int")
+    crowded = held.where(F.greatest("loose", "member", "ring") > max_rows).select("cell", "part", *(parts_of(c).alias(f"n_{c}") for c in ("loose", "member", "ring")))
+    sized = roles.join(F.broadcast(cut(crowded)), ["cell", "part"], "left")
+    count = lambda c: F.greatest(F.coalesce(F.col(f"n_{c}"), F.lit(1)), F.lit(1))
+    one = lambda c: F.array(F.pmod(F.xxhash64(F.lit(seed), "id"), count(c)).cast("int"))
+    every = lambda c: F.sequence(F.lit(0), count(c) - 1)
     # crowds: groups (chunk of members, chunk of the ring); loose rows: pairs of chunks i <= j
-    first = F.when(F.col("role").isin("member", "near"), one("a")).otherwise(every("a"))
-    second = F.when(F.col("role").isin("ring", "near"), one("b")).otherwise(every("b"))
+    first = F.when(F.col("role").isin("member", "near"), one("member")).otherwise(every("member"))
+    second = F.when(F.col("role").isin("ring", "near"), one("ring")).otherwise(every("ring"))
     crowd = sized.where("role != 'loose'").withColumn("i", F.explode(first)).withColumn("j", F.explode(second))
-    pairs = sized.where("role = 'loose'").withColumn("mine", one("a")[0]).withColumn("other", F.explode(every("a")))
+    pairs = sized.where("role = 'loose'").withColumn("mine", one("loose")[0]).withColumn("other", F.explode(every("loose")))
     pairs = pairs.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     named_group = lambda df, mark: df.select(F.concat_ws("-", F.lit(mark), "cell", "part", "i", "j").alias("cell"), "id", "x")
-    rest = named(placed.where(~F.col("cell").isin(list(counts))))
+    rest = named(placed.join(counts, "cell", "left_anti"))
     return rest.unionByName(named_group(crowd, "c")).unionByName(named_group(pairs, "l"))
 
 
@@ -302,7 +325,7 @@ def linked_groups(
     n_features: int,
     radius: float,
     *,
-    hashing: FeatureHash,
+    hashing: FeatureHash | Callable[[DataFrame], FeatureHash],
     cell_rows: int = 400,
     max_cells: int = 1024,
     max_rows: int = 20_000,
@@ -311,12 +334,14 @@ def linked_groups(
     """``id``, ``group_id`` (the smallest id of its group) and ``group_size`` of every record of ``id``, ``x``.
 
     Two records are linked when their distance is at most ``radius``, a group is everything linked directly or through
-    others.  Copies of one vector are compared once; no task compares more than about twice ``max_rows`` records, however
+    others.  ``hashing`` (or what it makes of the kept rows) decides on the cells alone, exact distances of ``x`` on the
+    links.  Copies of one vector are compared once; no task compares more than about twice ``max_rows`` records, however
     many of them crowd together.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     key = vectors.schema["id"].dataType
     all_rows = cut(vectors.select("id", "x"))
+    hashing = hashing if isinstance(hashing, FeatureHash) else hashing(all_rows)
     reps = cut(hashed(all_rows.groupBy("x").agg(F.min("id").alias("id")).select("id", "x"), hashing))
     n = reps.count()
     if not n:
@@ -328,17 +353,10 @@ def linked_groups(
     kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("id", key), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def to_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        apart = np.sqrt(square_distances(c, c))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                d = square_distances(matrix(part.column(2), hashing.size), c)
-                home = d.argmin(axis=1)
-                # distance to the border between the home cell and each other cell
-                border = (d - d[np.arange(len(d)), home][:, None]) / (2 * np.maximum(apart[home], 1e-12))
-                border[np.arange(len(d)), home] = 0
-                row, cell = np.nonzero(border <= reach)
+                row, cell = np.nonzero(_borders(matrix(part.column(2), hashing.size), shared.value) <= reach)
                 for b in range(0, len(row), 4096):
                     take = pa.array(row[b : b + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(cell[b : b + 4096].astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=kind.names)

@@ -46,7 +46,8 @@ def _score_vectors(spark: SparkSession, d: str, *, complete: bool = True) -> tup
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     vectors, statements = _score_vectors(spark, d)
-    groups = clusters.linked_groups(vectors, len(statements), LINK_RADIUS, hashing=clusters.FeatureHash(statements))
+    weighted = lambda rows: clusters.FeatureHash(statements, clusters.inverse_deviations(rows, len(statements)))
+    groups = clusters.linked_groups(vectors, len(statements), LINK_RADIUS, hashing=weighted)
     return groups.where("group_size >= 5").select(F.col("id").alias("video_idx"), F.col("group_id").alias("group_video_idx"))
 
 

@@ -155,6 +155,20 @@ def test_crowds_are_divided(spark, spread):
         assert got == {i: first[g] for i, g in enumerate(label)}
 
 
+def test_many_large_cells(spark):
+    """Every one of some 400 cells is larger than ``max_rows``."""
+    x = clustered(15, 5000, 6, centres=400, spread=0.02)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(4)
+    label = clusters.local_groups(x, 0.05)
+    first, size = {}, {}
+    for i, g in enumerate(label):
+        first.setdefault(g, i)
+        size[g] = size.get(g, 0) + 1
+    weighted = lambda rows: clusters.FeatureHash(list(range(6)), clusters.inverse_deviations(rows, 6))
+    got = {r["id"]: (r["group_id"], r["group_size"]) for r in clusters.linked_groups(df, 6, 0.05, hashing=weighted, cell_rows=12, max_rows=5).collect()}
+    assert got == {i: (first[g], size[g]) for i, g in enumerate(label)}
+
+
 def test_feature_vectors(spark):
     rows = [(1, 0, 0.5, 1), (1, 1, 0.25, 1), (1, 0, 0.7, 2), (1, 0, 0.7, 2), (2, 0, 0.1, 1), (3, 0, 0.1, 1), (3, 1, 0.2, 1), (3, 1, None, 2), (4, 0, NAN, 1), (4, 1, 1.0, 1), (None, 0, 1.0, 1), (5, None, 1.0, 1), (5, 9, 1.0, 1)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "v int, s int, score double, t int, id string")

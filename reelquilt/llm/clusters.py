@@ -198,7 +198,12 @@ def local_groups(x: np.ndarray, radius: float, block: int = 2048) -> np.ndarray:
 
 
 def _borders(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """How far each row is from the border between its own (nearest) centre's cell and each other's; 0 for its own."""
+    """How far each row is from the border between its own (nearest) centre's cell and each other's; 0 for its own.
+
+    Two rows of different cells lie on different sides of the border between them, so the sum of their distances from it
+    is at most their own distance, and one of the two at most half of that: it is enough to send rows to the cells whose
+    border is within half the radius.
+    """
     d = square_distances(x, centres)
     home = d.argmin(axis=1)
     apart = np.sqrt(square_distances(centres, centres))
@@ -247,7 +252,7 @@ def _roles(x: np.ndarray, who: np.ndarray, head_ids: np.ndarray, heads: np.ndarr
         yield *np.nonzero(elsewhere & (d > reach) & (d <= 1.5 * reach)), "ring"
     rows = np.flatnonzero(loose)
     if len(rows):
-        r, c = np.nonzero(_borders(x[rows], sub) <= reach + 1e-9)
+        r, c = np.nonzero(_borders(x[rows], sub) <= reach / 2 + 1e-9)
         yield rows[r], c, "loose"
 
 
@@ -356,7 +361,7 @@ def linked_groups(
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                row, cell = np.nonzero(_borders(matrix(part.column(2), hashing.size), shared.value) <= reach)
+                row, cell = np.nonzero(_borders(matrix(part.column(2), hashing.size), shared.value) <= reach / 2)
                 for b in range(0, len(row), 4096):
                     take = pa.array(row[b : b + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(cell[b : b + 4096].astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=kind.names)

@@ -13,7 +13,7 @@ from reelquilt.sources.tables import table
 
 EMBEDDING_SIZE = 32
 LINK_RADIUS = 0.06
-SCORE_SHAPE = quantiles.DyadicSketch(low=-1.0, high=1.0, bits=12, width=1024, depth=3)
+SCORE_SHAPE = quantiles.DyadicSketch(low=-1.0, high=1.0, bits=16, top=64, width=1024, depth=5)
 
 
 def _embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -54,10 +54,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median and 95th percentile of every group's non-null scores, from mergeable sketches."""
     keys = ["video_id", "statement_index"]
-    rows = table(spark, d, "frame_scores").select("video_id", "frame_idx", "statement_index", "score").withColumn("stretch", F.floor(F.col("frame_idx") / 1024))
-    # A stretch of a video's frames is the unit of work: a camera that never stops is spread over tasks.
-    rows = rows.repartition("video_id", "stretch").groupBy("video_id", "stretch", "frame_idx", "statement_index", "score").agg(F.lit(1).alias("one"))
-    parts = quantiles.sketch(rows, keys, "score", shape=SCORE_SHAPE)
+    rows = table(spark, d, "frame_scores")
+    parts = quantiles.sketch_sequences(rows, sequence="video_id", position="frame_idx", feature="statement_index", value="score", shape=SCORE_SHAPE)
     found = quantiles.quantiles(parts, keys, [0.5, 0.95], shape=SCORE_SHAPE)
     return found.select(*keys, F.col("n").alias("n_scores"), F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("p95"))
 

@@ -58,6 +58,46 @@ def test_merging_and_deleting(spark):
     assert rest == days[0].first()
 
 
+def test_sketches_on_every_resolution(spark):
+    """From 64 cells on all counts are signed sketches; errors of ranks are measured against the exact percentiles."""
+    rng = np.random.default_rng(4)
+    groups = {"normal": rng.normal(0.2, 0.1, 30_000), "skewed": rng.beta(2, 9, 30_000), "wide": rng.uniform(-1, 1, 30_000), "few": rng.choice([0.1, 0.2, 0.7], 30_000)}
+    shape = quantiles.DyadicSketch(bits=16, top=64, width=1024, depth=5, raw=50)
+    assert list(shape.levels) == list(range(7, 17))
+    df = scores(spark, [(g, 1, float(v)) for g, x in groups.items() for v in x]).repartition(4)
+    asked = [0.05, 0.25, 0.5, 0.75, 0.95]
+    kept = quantiles.combine(quantiles.sketch(df, ["g"], "v", shape=shape), ["g"], shape=shape)
+    assert kept.select(F.min(F.array_min("cells"))).first()[0] >= shape.values  # counters only
+    for r in quantiles.quantiles(kept, ["g"], asked, shape=shape).collect():
+        x = np.sort(groups[r["g"]])
+        for p, v in zip(asked, r["quantiles"]):
+            low, high = np.searchsorted(x, v - 1e-4) / len(x), np.searchsorted(x, v + 1e-4, side="right") / len(x)
+            assert low - 0.005 <= p <= high + 0.005
+
+
+@pytest.mark.parametrize("raw, error", [(10_000, 2e-5), (30, 2e-3)])
+def test_sequences_against_distinct_rows(spark, raw, error):
+    rng = random.Random(5)
+    rows = [(v, rng.choice([None, *range(3000)]) if v == "long" else rng.randrange(40), f, round(rng.betavariate(2, 6), 3)) for v in ("long", "a", "b", None) for f in (1, 2, None) for _ in range(1500 if v == "long" else 60)]
+    rows += rng.choices(rows, k=400) + [("a", 3, 1, None), ("a", 4, 1, NAN), ("nulls", 1, 1, None), ("a", 5, 1, 7.0), ("b", 5, 1, INF)]
+    rng.shuffle(rows)
+    shape = quantiles.DyadicSketch(bits=16, top=64, width=1024, depth=5, raw=raw)
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "v string, frame int, f int, s double, n int, k string, part string").repartition(3)
+    want = {}
+    for v, _, f, s in {r for r in rows if r[3] is None or r[3] == r[3]}:
+        want.setdefault((v, f), []).append(s) if s is not None else want.setdefault((v, f), [])
+    for stretch in (16, 1024):
+        parts = quantiles.sketch_sequences(df, sequence="v", position="frame", feature="f", value="s", shape=shape, stretch=stretch)
+        got = {(r["v"], r["f"]): r for r in quantiles.quantiles(parts, ["v", "f"], [0.1, 0.5, 0.95], shape=shape).collect()}
+        assert set(got) == set(want)
+        for key, x in want.items():
+            assert got[key]["n"] == len(x)
+            assert x or got[key]["quantiles"] is None
+            if x:
+                assert np.abs(np.array(got[key]["quantiles"]) - [exact(np.clip(x, -1, 1), p) for p in (0.1, 0.5, 0.95)]).max() <= error
+    assert quantiles.sketch_sequences(df.limit(0), sequence="v", position="frame", feature="f", value="s", shape=shape).count() == 0
+
+
 def test_percentile_edges(spark):
     df = scores(spark, [("a", 1, None), ("a", 1, NAN), ("b", 1, 5.0), ("b", 1, -5.0), ("b", 1, INF), (None, None, 0.5)])
     got = {(r["g"], r["s"]): (r["n"], r["quantiles"]) for r in quantiles.quantiles(quantiles.sketch(df, ["g", "s"], "v"), ["g", "s"], [0.0, 1.0]).collect()}

@@ -75,7 +75,23 @@ def varied_subset(
     held = sorted((r["cluster"], r["n"]) for r in placed.groupBy("cluster").agg(F.count("*").alias("n")).collect())
     share = quotas([m for _, m in held], wanted, rule)
     plan = spark.createDataFrame([(c, m, q) for (c, m), q in zip(held, share)], "cluster int, cluster_size long, quota long")
-    most = max(share, default=0)
-    order = W.partitionBy("cluster").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    drawn = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    return drawn.join(F.broadcast(plan), "cluster").where("r <= quota").select(F.col("id").alias(item), "cluster", "cluster_size", "quota")
+    return drawn(placed, plan, seed).select(F.col("id").alias(item), "cluster", "cluster_size", "quota")
+
+
+def drawn(placed: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The ``quota`` members of each cluster with the smallest hashes (then ids), with the columns of ``plan``.
+
+    A histogram of each cluster's hashes tells up to which bin all members are taken; only the members of the bin at the
+    border are ranked, so that no task ever sorts a whole cluster.
+    """
+    h = F.xxhash64(F.lit(seed), "id")
+    rows = placed.select("id", "cluster", h.alias("h"), F.shiftright(h, 52).cast("int").alias("bin"))
+    bins = rows.groupBy("cluster", "bin").agg(F.count("*").alias("n"))
+    ahead = W.partitionBy("cluster").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(F.broadcast(plan), "cluster").where(F.col("before") < F.col("quota"))
+    # at most 4096 bins for each of the clusters that the centres were fitted for
+    bins = F.broadcast(cut(bins.select(*plan.columns, "bin", (F.col("quota") - F.col("before")).alias("places"), (F.col("n") <= F.col("quota") - F.col("before")).alias("whole"))))
+    met = rows.join(bins, ["cluster", "bin"])
+    place = F.row_number().over(W.partitionBy("cluster", "bin").orderBy("h", "id"))
+    border = met.where("not whole").withColumn("r", place).where(F.col("r") <= F.col("places"))
+    return met.where("whole").select("id", *plan.columns).unionByName(border.select("id", *plan.columns))

@@ -269,3 +269,14 @@ def test_subset_spreads(spark):
     assert subset.varied_subset(df, 0, item="video_idx", vector="z").count() == 0
     assert subset.varied_subset(table(spark, []), 5, item="video_idx", vector="z").count() == 0
     assert subset.varied_subset(table(spark, [(1, None)]), 5, item="video_idx", vector="z").count() == 0
+
+
+def test_draws_are_the_smallest_hashes(spark):
+    """The histogram takes the same members as a sort of whole clusters, also where one bin holds more than its places."""
+    sizes = {0: 5000, 1: 40, 2: 1}
+    placed = spark.createDataFrame([(c * 10_000 + i, c) for c, n in sizes.items() for i in range(n)], "id int, cluster int")
+    for quota in ({0: 1, 1: 39, 2: 1}, {0: 4999, 1: 40, 2: 0}, {0: 2500, 1: 7, 2: 1}):
+        plan = spark.createDataFrame([(c, n, quota[c]) for c, n in sizes.items()], "cluster int, cluster_size long, quota long")
+        got = sorted((r["cluster"], r["id"]) for r in subset.drawn(placed, plan, 5).collect())
+        ranked = placed.select("cluster", "id", F.xxhash64(F.lit(5), "id").alias("h")).toPandas().sort_values(["cluster", "h", "id"])
+        assert got == sorted((c, i) for c in sizes for i in ranked[ranked.cluster == c].id.head(quota[c]))

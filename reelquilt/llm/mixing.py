@@ -1,8 +1,8 @@
 """Mixing sources to target shares of a total size in tokens.
 
 The mix is apportioned in blocks of equal token count by Sainte-Laguë's highest quotients: first to the sources, each
-capped at what it holds times its repeats, then within a source to its shards by what they hold.  Each shard then fills
-its quota alone: whole passes over its documents first, the rest from the head of a seeded order.
+capped at what it holds times its repeats, then within a source to its shards (as many as its size asks for) by what they
+hold.  Each shard then fills its quota alone: whole passes over its documents first, the rest from the head of a seeded order.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from reelquilt.llm.texts import slices
 from reelquilt.plans.materialize import cut
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -43,7 +44,7 @@ def count_tokens(docs: DataFrame, keep: Sequence[str], *, text: str = "text", vo
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoding(vocabulary).encode_ordinary
         for batch in batches:
-            sizes = [len(encode(t)) if t else 0 for at in range(0, batch.num_rows, 256) for t in batch.column(len(keep)).slice(at, 256).to_pylist()]
+            sizes = [len(encode(t)) if t else 0 for _, texts in slices(batch, len(keep)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], names=[*keep, "tokens"])
 
     return own.mapInArrow(run, schema)
@@ -129,47 +130,67 @@ class Mix:
             raise ValueError(f"more than {max_sources} sources; raise max_sources if the driver can hold them")
         self.sources = sorted(({**r.asDict()} for r in rows), key=lambda r: r["source"])
         names = spark.createDataFrame([(r["key"],) for r in self.sources], "key string")
-        own = docs.select(F.col(doc_id).alias("id"), source_key(F.col(source)).alias("key"), F.col(text).alias("text")).join(F.broadcast(names), "key", "left_semi")
-        self.sized = cut(count_tokens(own, ["id", "key"], vocabulary=vocabulary))
+        own = docs.select(F.col(doc_id).alias("id"), source_key(F.col(source)).alias("key"), F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+        own = own.join(F.broadcast(names), "key", "left_semi")  # max_sources names at most
+        self.sized = cut(count_tokens(own, ["id", "key", "h"], vocabulary=vocabulary))
         held = {r["key"]: (r["t"], r["n"]) for r in self.sized.groupBy("key").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
         for r in self.sources:
             r["held_tokens"], r["documents"] = held.get(r["key"], (0, 0))
         self.total = sum(r["held_tokens"] for r in self.sources)
         self.mix_tokens = self.total if mix_tokens is None else mix_tokens
         self.block, self.seed, self.doc_id = block_tokens, seed, doc_id
-        self.shards = max(1, -(-self.total // shard_tokens))
+        shares = [max(0.0, r["target_share"]) for r in self.sources]
         caps = [r["held_tokens"] * r["max_repeats"] // block_tokens for r in self.sources]
-        quota = sainte_lague([r["target_share"] for r in self.sources], caps, -(-self.mix_tokens // block_tokens))
-        for r, q in zip(self.sources, quota):
+        quota = sainte_lague(shares, caps, -(-self.mix_tokens // block_tokens))
+        # what the same apportionment gives to each source if nothing limits it
+        blocks = -(-int(self.mix_tokens * sum(shares)) // block_tokens)
+        asked = sainte_lague(shares, [blocks] * len(shares), blocks)
+        for r, q, a, cap in zip(self.sources, quota, asked, caps):
             r["blocks"] = q
-            r["reachable"] = r["held_tokens"] * r["max_repeats"] >= r["target_share"] * self.mix_tokens
+            r["shards"] = max(1, -(-r["held_tokens"] // shard_tokens))
+            # blocks tell the sources that fall short; what is within two blocks of its share is decided by tokens
+            r["reachable"] = a + 2 <= cap or r["held_tokens"] * r["max_repeats"] >= r["target_share"] * self.mix_tokens
+
+        self.shards = max((r["shards"] for r in self.sources), default=1)
 
     def unreachable(self) -> DataFrame:
-        """Sources that can't reach their share even with all their repeats: ``source``."""
+        """Sources that can't reach their share even with all their repeats: ``source``.
+
+        They are those that get fewer blocks than the same apportionment without limits would give them, by tokens too.
+        """
         spark = self.sized.sparkSession
         return spark.createDataFrame([(r["source"],) for r in self.sources if not r["reachable"]], "source string")
 
+    def shard_quotas(self, rows: DataFrame) -> DataFrame:
+        """``key, shard, source, whole, rest`` of the shards that give anything: passes over all documents, tokens on top.
+
+        ``rows`` have ``key``, ``shard`` and ``tokens``.  Each source's shards are apportioned in a task of their own.
+        """
+        spark, block = rows.sparkSession, self.block
+        plan = spark.createDataFrame([(r["key"], r["source"], r["blocks"], r["max_repeats"]) for r in self.sources], "key string, source string, blocks long, max_repeats long")
+        held = rows.groupBy("key", "shard").agg(F.sum("tokens").alias("t")).join(F.broadcast(plan), "key")
+
+        def apportion(table: pa.Table) -> pa.Table:
+            table = table.sort_by("shard")
+            t = table.column("t").to_numpy()
+            blocks, repeats = table.column("blocks")[0].as_py(), table.column("max_repeats")[0].as_py()
+            given = sainte_lague(t, -(-t * repeats // block), blocks)
+            want = np.minimum(np.asarray(given, dtype=np.int64) * block, t * repeats)
+            some = np.flatnonzero((want > 0) & (t > 0))
+            own = table.take(pa.array(some))
+            return pa.table([own.column("key"), own.column("shard"), own.column("source"), pa.array(want[some] // t[some]), pa.array(want[some] % t[some])], names=["key", "shard", "source", "whole", "rest"])
+
+        return held.groupBy("key").applyInArrow(apportion, "key string, shard long, source string, whole long, rest long")
+
     def selection(self) -> DataFrame:
         """Documents of the mix: the id, ``source``, ``tokens`` and ``repeats`` (at least 1, at most the source's cap)."""
         spark = self.sized.sparkSession
-        order = F.xxhash64(F.lit(self.seed), "id", "tokens")
-        rows = self.sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(self.seed + 1), "id"), F.lit(self.shards)))
-        held: dict[str, list[tuple[int, int]]] = {}
-        for r in rows.groupBy("key", "shard").agg(F.sum("tokens").alias("t")).collect():
-            held.setdefault(r["key"], []).append((r["shard"], r["t"]))
-        quotas = []
-        for r in self.sources:
-            parts = sorted(held.get(r["key"], []))
-            caps = [-(-t * r["max_repeats"] // self.block) for _, t in parts]
-            for (shard, t), blocks in zip(parts, sainte_lague([t for _, t in parts], caps, r["blocks"])):
-                want = min(blocks * self.block, t * r["max_repeats"])
-                if want and t:
-                    quotas.append((r["key"], shard, r["source"], want // t, want % t))
-        plan = spark.createDataFrame(quotas, "key string, shard long, source string, whole long, rest long")
-        ahead = W.partitionBy("key", "shard").orderBy(order, "id", "tokens").rowsBetween(W.unboundedPreceding, 0)
+        counts = spark.createDataFrame([(r["key"], r["shards"]) for r in self.sources], "key string, shards long")
+        rows = self.sized.join(F.broadcast(counts), "key").withColumn("shard", F.pmod("h", "shards")).drop("shards")
+        ahead = W.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(self.seed), "id", "h"), "id", "tokens").rowsBetween(W.unboundedPreceding, 0)
         middle = F.sum("tokens").over(ahead) - F.col("tokens") / 2
         return (
-            rows.join(plan, ["key", "shard"])
+            rows.join(self.shard_quotas(rows), ["key", "shard"])
             .withColumn("repeats", (F.col("whole") + F.when(middle < F.col("rest"), 1).otherwise(0)).cast("int"))
             .where("repeats > 0")
             .select(F.col("id").alias(self.doc_id), "source", "tokens", "repeats")

@@ -242,6 +242,33 @@ def test_mix(spark):
     assert sorted(map(str, drawn)) == sorted(map(str, again))
 
 
+def test_shards_by_plain_quotients(spark):
+    """Sources have shards by their own size, and a shard's quota is that of highest quotients taken one by one."""
+    rng = random.Random(3)
+    rows = [(i, "large", "word " * rng.randint(1, 80)) for i in range(600)] + [(1000 + i, "small", "word " * 20) for i in range(30)]
+    m = mix(spark, rows, [("large", 0.7, 2), ("small", 0.3, 9)], block_tokens=16, shard_tokens=1500)
+    shards = {r["source"]: r["shards"] for r in m.sources}
+    assert shards["large"] > 10 and shards["small"] == 1
+    rows_of = m.sized.join(spark.createDataFrame([(r["key"], r["shards"]) for r in m.sources], "key string, shards long"), "key").withColumn("shard", F.pmod("h", "shards"))
+    held = {}
+    for r in rows_of.groupBy("key", "shard").agg(F.sum("tokens").alias("t")).collect():
+        held.setdefault(r["key"], {})[r["shard"]] = r["t"]
+    got = {(r["key"], r["shard"]): (r["whole"], r["rest"]) for r in m.shard_quotas(rows_of).collect()}
+    for r in m.sources:
+        t = [held[r["key"]][s] for s in sorted(held[r["key"]])]
+        want = plain_quotients(t, [-(-x * r["max_repeats"] // 16) for x in t], r["blocks"])
+        for shard, x, blocks in zip(sorted(held[r["key"]]), t, want):
+            n = min(blocks * 16, x * r["max_repeats"])
+            assert got.get((r["key"], shard), (0, 0)) == divmod(n, x)
+
+
+def test_null_ids_are_spread(spark):
+    rows = [(None, "a", f"word {i} " * 20) for i in range(400)]
+    m = mix(spark, rows, [("a", 1.0, 1)], block_tokens=16, shard_tokens=2000)
+    assert m.sized.select(F.pmod("h", F.lit(m.shards))).distinct().count() == m.shards > 5
+    assert m.selection().count() == pytest.approx(400, abs=30)
+
+
 def test_mix_edges(spark):
     none = mix(spark, [], [("a", 1.0, 1)])
     assert none.selection().count() == 0 and none.report().first()["actual_share"] == 0 and none.total == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +59,16 @@ def hot_percentiles(rows: DataFrame, p: float, hot: DataFrame, *, most: int = HO
     return ends.select("key", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("w")).alias("score"))
 
 
+def spread_percentile(rows: DataFrame, groups: Sequence[str], value: str, p: float) -> DataFrame:
+    """The columns ``groups`` and ``score``, the exact percentile of each group, for few groups (or none) of any size.
+
+    Unlike the aggregate function it never gathers a group's values in one task (:func:`hot_percentiles`).
+    """
+    keyed = rows.select(F.struct(*(F.col(g) for g in groups), F.lit(0).alias("__one")).alias("key"), F.col(value).cast("double").alias("v")).where("v is not null")
+    spans = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return hot_percentiles(keyed, p, spans).select(*(F.col(f"key.{g}").alias(g) for g in groups), "score")
+
+
 def pool_scores(
     scores: DataFrame,
     method: str = "percentile",
@@ -83,7 +95,8 @@ def pool_scores(
         # Both keys as one struct, which is never null itself, so that null keys are groups here too.
         rows = scores.select(F.struct(F.col(group).alias("g"), F.col(feature).alias("f")).alias("key"), checked.alias("v"))
         counted = rows if keys is None else keys.select(F.struct(F.col(group).alias("g"), F.col(feature).alias("f")).alias("key"))
-        large = counted.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key").collect()
+        # a stored table's rows are counted by its metadata: where there are few in all, no group has more
+        large = [] if keys is not None and keys.count() <= hot_rows else counted.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key").collect()
         if large:
             names = F.broadcast(scores.sparkSession.createDataFrame([(r["key"],) for r in large], rows.select("key").schema))
             crowded = rows.where("v is not null").join(names, "key", "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelquilt.config import INITS, METRICS
-from reelquilt.operators import linalg
+from reelquilt.operators import linalg, pooling
 from reelquilt.plans.materialize import cut
 
 #: Prototypes that one traversal may have; they are sent to every task.
@@ -51,49 +51,88 @@ def centroid(rows: DataFrame, vector: str) -> np.ndarray:
     return np.array([r["v"] for r in sorted(got, key=lambda r: r["j"])])
 
 
-def _best_row(rows: DataFrame, index: str, vector: str, size: int, points: np.ndarray, metric: str, farthest: bool, order: str):
-    """Index and vector of the row farthest from (or nearest to) its nearest point; ties go to the smallest index.
+def _ends(rows: DataFrame, index: str, vector: str, size: int, points: np.ndarray, metric: str, farthest: bool, n: int = 1) -> list[tuple[float, int, np.ndarray]]:
+    """The ``n`` rows farthest from (or nearest to) their nearest point as (distance, index, vector), ties by the smaller index.
 
-    Each batch sends one row, so the driver sees one per partition at most after the aggregate.
+    A column ``near`` of the rows, if they have it, is their distance from points settled before.  Each batch sends
+    ``n`` rows at most.
     """
     shared = rows.sparkSession.sparkContext.broadcast(points)
-    kind = rows.schema[index].dataType
-    schema = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("i", kind), T.StructField("z", T.ArrayType(T.DoubleType()))])
+    settled = "near" in rows.columns
+    schema = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("i", rows.schema[index].dataType), T.StructField("z", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = linalg.matrix_of(batch.column(1), size)
-            d = np.min([DISTANCE[metric](x, p) for p in shared.value], axis=0)
-            top = d.max() if farthest else d.min()
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(d == top)
-            pick = pa.array([int(at[ids[at].argmin()])])
-            yield pa.RecordBatch.from_arrays([pa.array([float(top)]), batch.column(0).take(pick), batch.column(1).take(pick)], names=["d", "i", "z"])
+            d = _near(batch, 1, size, shared.value, metric, 2 if settled else None)
+            order = np.lexsort([batch.column(0).to_numpy(zero_copy_only=False), -d if farthest else d])[:n]
+            take = pa.array(order)
+            yield pa.RecordBatch.from_arrays([pa.array(d[order]), batch.column(0).take(take), batch.column(1).take(take)], names=["d", "i", "z"])
+
+    found = rows.select(index, vector, *(["near"] if settled else [])).mapInArrow(run, schema)
+    best = found.orderBy(F.desc("d") if farthest else F.asc("d"), "i").limit(n).collect()
+    return [(r["d"], r["i"], np.array(r["z"])) for r in best]
+
+
+def _near(batch: pa.RecordBatch, vector: int, size: int, points: np.ndarray, metric: str, settled: int | None) -> np.ndarray:
+    x = linalg.matrix_of(batch.column(vector), size)
+    d = [DISTANCE[metric](x, p) for p in points]
+    if settled is not None:
+        d.append(batch.column(settled).to_numpy(zero_copy_only=False))
+    return np.min(d, axis=0) if len(x) else np.zeros(0)
+
+
+def _settle(rows: DataFrame, index: str, vector: str, size: int, points: np.ndarray, metric: str) -> DataFrame:
+    """``index``, ``vector`` and ``near``, the distance from the nearest of the points and of those settled before."""
+    shared = rows.sparkSession.sparkContext.broadcast(points)
+    own = rows.select(index, vector, *(["near"] if "near" in rows.columns else []))
+    schema = T.StructType([*own.schema.fields[:2], T.StructField("near", T.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _near(batch, 1, size, shared.value, metric, 2 if batch.num_columns > 2 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=schema.names)
+
+    return cut(own.mapInArrow(run, schema))
+
 
-    found = rows.select(index, vector).mapInArrow(run, schema)
-    best = F.max_by(F.struct("i", "z"), F.struct("d", (-F.col("i")).alias("o"))) if farthest else F.min_by(F.struct("i", "z"), F.struct("d", "i"))
-    return found.agg(best.alias("s")).first()["s"]
+#: Candidates that a pass of a traversal brings to the driver, and points after which distances are kept in the rows.
+CANDIDATES, SETTLE = 256, 32
 
 
-def _traverse(rows: DataFrame, index: str, vector: str, size: int, first, k: int, metric: str) -> list[tuple[int, np.ndarray]]:
-    chosen = [(first["i"], np.array(first["z"]))]
+def _traverse(rows: DataFrame, index: str, vector: str, size: int, first: tuple[int, np.ndarray], k: int, metric: str) -> list[tuple[int, np.ndarray]]:
+    """Always the row farthest from all chosen, ``k`` in all.
+
+    A pass brings the CANDIDATES farthest rows.  Rows that aren't among them are no farther than the last of them, and
+    never will be, so the farthest candidate is the next choice as long as it is beyond that; then comes the next pass.
+    Distances from every SETTLE points are kept in the rows, so that a pass costs as many distances at most.
+    """
+    chosen, settled = [first], 0
     while len(chosen) < k:
-        nxt = _best_row(rows, index, vector, size, np.array([z for _, z in chosen]), metric, True, "far")
-        chosen.append((nxt["i"], np.array(nxt["z"])))
+        if len(chosen) - settled > SETTLE:
+            rows = _settle(rows, index, vector, size, np.array([z for _, z in chosen[settled:]]), metric)
+            settled = len(chosen)
+        found = _ends(rows, index, vector, size, np.array([z for _, z in chosen[settled:]]).reshape(-1, size), metric, True, CANDIDATES)
+        d, ids, z = (np.array(x) for x in zip(*found))
+        beyond = d[-1] if len(found) == CANDIDATES else -1.0
+        at = 0
+        while True:
+            chosen.append((ids[at].item(), z[at]))
+            d = np.minimum(d, DISTANCE[metric](z, z[at]))
+            at = int(np.lexsort([ids, -d])[0])
+            if len(chosen) >= k or d[at] <= beyond:
+                break
     return chosen
 
 
-def _start(rows: DataFrame, index: str, vector: str, at: int):
+def _start(rows: DataFrame, index: str, vector: str, at: int) -> tuple[int, np.ndarray]:
     r = rows.where(F.col(index) == at).select(F.col(index).alias("i"), F.col(vector).alias("z")).first()
-    return {"i": r["i"], "z": r["z"]}
+    return r["i"], np.array(r["z"])
 
 
 def farthest_first(rows: DataFrame, k: int, *, init: str = "medoid", seed: int | None = None, index: str = "video_idx", vector: str = "z") -> list[tuple[int, np.ndarray]]:
     """Ordered prototypes (index, vector): the row nearest the mean (or a seeded random one), then always the farthest row.
 
-    ``k`` is clamped to the number of rows; ``index`` counts them from 0.  One pass over the rows per prototype; what is
+    ``k`` is clamped to the number of rows; ``index`` counts them from 0.  One pass over the rows gives several prototypes; what is
     more than MAX_PROTOTYPES after that is a ValueError.
     """
     if init not in INITS:
@@ -106,11 +145,10 @@ def farthest_first(rows: DataFrame, k: int, *, init: str = "medoid", seed: int |
         return []
     size = vector_size(rows, vector)
     if init == "medoid":
-        s = _best_row(rows, index, vector, size, centroid(rows, vector)[None, :], "euclidean", False, "near")
-        first = {"i": s["i"], "z": s["z"]}
+        first = _ends(rows.select(index, vector), index, vector, size, centroid(rows, vector)[None, :], "euclidean", False)[0][1:]
     else:
         first = _start(rows, index, vector, int(np.random.RandomState(seed).randint(n)))
-    return _traverse(rows, index, vector, size, first, k, "euclidean")
+    return _traverse(rows.select(index, vector), index, vector, size, first, k, "euclidean")
 
 
 def kcenter_greedy(rows: DataFrame, k: int, *, metric: str = "euclidean", seed: int = 1234, start: int | None = None, index: str = "video_idx", vector: str = "z") -> list[tuple[int, np.ndarray]]:
@@ -127,7 +165,7 @@ def kcenter_greedy(rows: DataFrame, k: int, *, metric: str = "euclidean", seed:
         return [(r["i"], np.array(r["z"])) for r in rows.select(F.col(index).alias("i"), F.col(vector).alias("z")).orderBy("i").collect()]
     size = vector_size(rows, vector)
     at = int(np.random.RandomState(seed).randint(n)) if start is None else start
-    return _traverse(rows, index, vector, size, _start(rows, index, vector, at), k, metric)
+    return _traverse(rows.select(index, vector), index, vector, size, _start(rows, index, vector, at), k, metric)
 
 
 def prototype_table(spark, prototypes: list[tuple[int, np.ndarray]]) -> DataFrame:
@@ -159,6 +197,9 @@ def assign_strata(rows: DataFrame, prototypes: list[tuple[int, np.ndarray]], *,
     return d.select(index, (F.array_position("d", least) - 1).cast("int").alias("stratum_id"), F.col(index).isin(heads).cast("int").alias("is_prototype"), least.alias("dist_to_prototype"))
 
 
+COVERAGE = ("mean_dist", "max_dist", "p95_dist", "min_size", "singleton_frac", "n_strata")
+
+
 def coverage_metrics(strata: DataFrame, *groups: str) -> DataFrame:
     """``mean_dist, max_dist, p95_dist, min_size, singleton_frac, n_strata`` over the observed strata (of each group).
 
@@ -167,8 +208,12 @@ def coverage_metrics(strata: DataFrame, *groups: str) -> DataFrame:
     sizes = strata.groupBy(*groups, "stratum_id").agg(F.count("*").alias("size"))
     by_size = sizes.groupBy(*groups).agg(F.min("size").alias("min_size"), F.avg(F.when(F.col("size") == 1, 1.0).otherwise(0.0)).alias("singleton_frac"), F.count("*").alias("n_strata"))
     d = "dist_to_prototype"
-    by_dist = strata.groupBy(*groups).agg(F.avg(d).alias("mean_dist"), F.max(d).alias("max_dist"), F.percentile(d, F.lit(0.95)).alias("p95_dist"))
-    return by_dist.join(by_size, list(groups)) if groups else by_dist.crossJoin(by_size)
+    by_dist = strata.groupBy(*groups).agg(F.avg(d).alias("mean_dist"), F.max(d).alias("max_dist"))
+    # an aggregate without groups, or with few, would gather all distances in as many tasks
+    p95 = pooling.spread_percentile(strata, groups, d, 0.95).withColumnRenamed("score", "p95_dist")
+    if groups:
+        return by_dist.join(p95, list(groups)).join(by_size, list(groups)).select(*groups, *COVERAGE)
+    return by_dist.join(p95, how="left").crossJoin(by_size).select(*COVERAGE)  # of one row each
 
 
 def stratum_sizes(strata: DataFrame) -> DataFrame:
@@ -182,10 +227,25 @@ def size_histogram(strata: DataFrame) -> DataFrame:
 
 def k_sweep(rows: DataFrame, prototypes: list[tuple[int, np.ndarray]], *, index: str = "video_idx", vector: str = "z") -> DataFrame:
     """Coverage of the first K prototypes for every K, from one pass over the rows: running minima of one distance array."""
-    d = prototype_distances(rows, prototypes, index=index, vector=vector)
-    every = d.select(index, F.posexplode("d").alias("k", "dist"))
-    sofar = F.min(F.struct(F.col("dist"), F.col("k"))).over(W.partitionBy(index).orderBy("k").rowsBetween(W.unboundedPreceding, 0))
-    labelled = every.select(index, (F.col("k") + 1).cast("int").alias("K"), sofar.alias("s")).select(index, "K", F.col("s.k").alias("stratum_id"), F.col("s.dist").alias("dist_to_prototype"))
+    points = np.array([z for _, z in prototypes])
+    shared = rows.sparkSession.sparkContext.broadcast(points)
+    size = points.shape[1]
+    schema = T.StructType([T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = linalg.matrix_of(batch.column(0), size)
+            d = np.stack([euclidean(x, p) for p in shared.value], axis=1) if len(x) else np.zeros((0, len(shared.value)))
+            least = np.minimum.accumulate(d, axis=1)
+            fresh = np.ones(d.shape, dtype=bool)
+            fresh[:, 1:] = d[:, 1:] < least[:, :-1]  # on a tie the earlier prototype stays
+            nearest = np.maximum.accumulate(np.where(fresh, np.arange(d.shape[1]), 0), axis=1)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * d.shape[1])
+            yield pa.RecordBatch.from_arrays([linalg.list_of(least), pa.ListArray.from_arrays(offsets, pa.array(nearest.ravel().astype(np.int32)))], names=schema.names)
+
+    both = cut(rows.select(vector).mapInArrow(run, schema))
+    every = both.select(F.posexplode(F.arrays_zip("d", "s")).alias("k", "x"))
+    labelled = every.select((F.col("k") + 1).cast("int").alias("K"), F.col("x.s").alias("stratum_id"), F.col("x.d").alias("dist_to_prototype"))
     return coverage_metrics(labelled, "K").drop("n_strata")
 
 

@@ -202,6 +202,40 @@ def test_strata(spark):
     assert strata.choose_k(strata.k_sweep(df, got), 60, target_max_dist=float(target)) == feasible[0]
 
 
+@pytest.mark.parametrize("candidates, settle", [(1, 1), (4, 3), (256, 2)])
+def test_traversal_in_few_passes(spark, monkeypatch, candidates, settle):
+    """However many candidates a pass brings, the order is that of one choice after the other, ties included."""
+    monkeypatch.setattr(strata, "CANDIDATES", candidates)
+    monkeypatch.setattr(strata, "SETTLE", settle)
+    z = np.concatenate([RNG.normal(size=(80, 3)), np.eye(3) * 4, -np.eye(3) * 4, np.eye(3) * 4])
+    assert [i for i, _ in strata.farthest_first(vectors(spark, z).repartition(3), 25)] == reference_order(z, 25)
+
+
+def test_spread_percentiles(spark):
+    x = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 3000)) for v in np.round(RNG.normal(size=n), 2)] + [("d", None), ("e", 2.0), ("e", 2.0)]
+    df = spark.createDataFrame(x, "g string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r["g"]: r["score"] for r in pooling.spread_percentile(df, ["g"], "v", p).collect()}
+        assert got == {g: pytest.approx(np.percentile([v for h, v in x if h == g], 100 * p)) for g in "abce"}
+        whole = pooling.spread_percentile(df, [], "v", p).collect()
+        assert [r["score"] for r in whole] == [pytest.approx(np.percentile([v for _, v in x if v is not None], 100 * p))]
+    assert pooling.spread_percentile(df.limit(0), [], "v", 0.5).count() == 0
+
+
+def test_coverage_without_rows(spark):
+    none = spark.createDataFrame([], "video_idx long, stratum_id int, dist_to_prototype double")
+    (got,) = strata.coverage_metrics(none).collect()
+    assert got["n_strata"] == 0 and got["p95_dist"] is None and got["mean_dist"] is None
+
+
+def test_no_step_gathers_all_rows(spark):
+    """Distances are never sent to one task to be ranked."""
+    df = vectors(spark, RNG.normal(size=(50, 3)))
+    heads = strata.farthest_first(df, 4)
+    plan = strata.coverage_metrics(strata.assign_strata(df, heads))._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
+
+
 def test_strata_edges(spark):
     two = vectors(spark, np.array([[0.0, 1.0], [0.0, 1.0]]))
     made = strata.make_strata(two)  # fewer rows than a stratum needs

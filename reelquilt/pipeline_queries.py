@@ -33,9 +33,13 @@ def rounded(df: DataFrame) -> DataFrame:
 # --- cleaned tables ---------------------------------------------------------------------------------------------------
 
 
-def frame_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct frame scores that aren't null; undecodable frames' zeros are scores like any others."""
-    return table(spark, d, "frame_scores").select("video_id", "frame_idx", "statement_index", "score").where("score is not null").distinct()
+def frame_scores(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Distinct frame scores that aren't null; undecodable frames' zeros are scores like any others.
+
+    ``by`` names the columns that the rows are grouped by next, so that one shuffle serves both.
+    """
+    rows = table(spark, d, "frame_scores").select("video_id", "frame_idx", "statement_index", "score").where("score is not null")
+    return (rows.repartition(*by) if by else rows).distinct()
 
 
 def video_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +179,7 @@ def score_frames(spark, d):
 
 
 def _pool(method):
-    return lambda spark, d: rounded(pooling.pool_scores(frame_scores(spark, d), method, keys=table(spark, d, "frame_scores")))
+    return lambda spark, d: rounded(pooling.pool_scores(frame_scores(spark, d, "video_id", "statement_index"), method, keys=table(spark, d, "frame_scores")))
 
 
 def pool_events(spark, d):
@@ -209,7 +213,7 @@ def statement_preference(spark, d):
 
 def pooled_best(spark, d):
     """The engine's flagship: frames pooled to videos by their 95th percentile, each video with its best statement."""
-    return rounded(pooling.best_statements(pooling.pool_scores(frame_scores(spark, d), keys=table(spark, d, "frame_scores"))))
+    return rounded(pooling.best_statements(pooling.pool_scores(frame_scores(spark, d, "video_id", "statement_index"), keys=table(spark, d, "frame_scores"))))
 
 
 # --- reweighting ------------------------------------------------------------------------------------------------------

@@ -111,8 +111,9 @@ def normalization_plan(probes: DataFrame, folder: str, *, sanitize: bool = True,
     rows = probes.select("path", F.nullif(F.col("height"), F.lit(0)).alias("source_height"))
     target = F.lit(target_resolution).cast("int")
     if uniform_resolution:
-        tallest = F.nullif(F.max(F.coalesce("source_height", F.lit(0))).over(W.partitionBy()), F.lit(0))
-        height = target if target_resolution else tallest
+        if not target_resolution:
+            rows = rows.crossJoin(F.broadcast(rows.agg(F.max("source_height").alias("tallest"))))  # one row
+        height = target if target_resolution else F.col("tallest")
     elif target_resolution:
         height = F.when(target < F.coalesce("source_height", F.lit(UNKNOWN_HEIGHT)), target).otherwise(F.col("source_height"))
     else:

@@ -88,8 +88,13 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _fingerprint(df: DataFrame) -> tuple:
-    """Rows and two order-free sums of their hashes: equal for equal multisets of rows."""
-    cols = [F.to_json(c) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
+    """Rows and two order-free sums of their hashes: equal for equal multisets of rows.
+
+    Hashes skip nulls, so every column goes in with a flag that says whether it is null, and nested ones as JSON with nulls.
+    """
+    whole = lambda c: F.to_json(F.struct(F.col(f"`{c}`").alias("x")), {"ignoreNullFields": "false"})
+    values = [whole(c) if t.startswith(("map", "array", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes]
+    cols = [x for c, v in zip(df.columns, values) for x in (v, F.col(f"`{c}`").isNull())]
     one, two = F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)
     wide = lambda h: F.sum(h.cast("decimal(38,0)"))
     row = df.agg(F.count(F.lit(1)), wide(one), wide(two)).first()
@@ -99,22 +104,24 @@ def _fingerprint(df: DataFrame) -> tuple:
 def compact(spark: SparkSession, source: str, target: str, *, kind: str = "parquet", target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST, options: dict | None = None, columns: Sequence[str] | None = None) -> dict:
     """Rewrite a folder of small files as few files of about ``target_bytes``; the rows stay as they are, repeats included.
 
-    Small files are read in combined splits (no shuffle: the split size is the output size, corrected by how the rows
-    compress when written again), written to a staging folder beside the target, read back and compared with the source
-    by row count and order-free hash sums.  Only then is the staging folder renamed to the target, which must not exist.
-    A failed comparison raises and leaves source and target as they were.  Returns files and bytes before and after.
+    Small files are read in combined splits of about ``target_bytes`` (the engine's own packing of files by size and
+    opening cost), which are coalesced without a shuffle into as many parts as the folder's bytes ask for, written to a
+    staging folder beside the target, read back and compared with the source by row count and order-free hash sums.  How
+    the rows compress when they are written again isn't foreseen, so files may come out smaller or larger than that.  Only
+    then is the staging folder renamed to the target, which must not exist.  A failed comparison raises and leaves source
+    and target as they were.  The split sizes are set in a session of its own, so that other queries keep theirs.  Returns
+    files and bytes before and after.
     """
+    spark = spark.newSession()
     fs, where, new_path = _folder(spark, source)
     out_fs, out_path, _ = _folder(spark, target)
     if out_fs.exists(out_path):
         raise FileExistsError(target)
-    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
-    before = {n: spark.conf.get(n, None) for n in names}
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex[:8]}"
     try:
-        spark.conf.set(names[0], str(target_bytes + open_cost))
-        spark.conf.set(names[1], str(open_cost))
-        spark.conf.set(names[2], "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes + open_cost))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(open_cost))
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
         reader = spark.read.format(kind).options(**(options or {}))
         rows = reader.load(source)
         rows = rows.select(*columns) if columns else rows
@@ -136,9 +143,6 @@ def compact(spark: SparkSession, source: str, target: str, *, kind: str = "parqu
         if out_fs.exists(new_path(staging)):
             out_fs.delete(new_path(staging), True)
         raise
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -69,3 +69,24 @@ def test_registered_query_combines_files(spark):
     (got,) = queries.queries()["p6_combined"](spark, d).collect()
     assert got["rows"] == spark.read.parquet(f"{d}/frame_scores.parquet").count()
     assert got["files_before"] > 100 and got["files_after"] == 1
+
+
+def test_a_value_in_another_column_is_noticed(spark):
+    kind = "a int, b int, c string, d array<int>, e struct<x: int, y: int>"
+    one = spark.createDataFrame([(1, None, "a", [1, None], (None, 1))], kind)
+    for other in ((None, 1, "a", [1, None], (None, 1)), (1, None, "a", [None, 1], (None, 1)), (1, None, "a", [1, None], (1, None)), (1, None, "a", [1], (None, 1))):
+        assert compaction._fingerprint(one) != compaction._fingerprint(spark.createDataFrame([other], kind))
+    assert compaction._fingerprint(one) == compaction._fingerprint(one.repartition(3))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from reelquilt.plans.materialize import ensure_checkpoint_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None, master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session(master))
+    for master in ("local", "local[4]", "local[*]"):
+        assert ensure_checkpoint_dir(session(master))

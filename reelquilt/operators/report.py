@@ -12,13 +12,13 @@ from reelquilt.operators import pooling, selection, strata
 
 # The names under which a step's report can be asked for.
 ALIASES = {
-    "import": "import", "normalize": "import", "step1a": "import",
+    "import": "import", "normalize": "import", "step1": "import", "step1a": "import",
     "frames": "frames", "frame_extraction": "frames", "step1b": "frames",
     "encoding": "encoding", "clip": "encoding", "step2": "encoding",
     "aggregate": "aggregate", "aggregation": "aggregate", "step3": "aggregate",
-    "svd": "svd", "reweight": "svd", "step4": "svd",
+    "svd": "svd", "reduce": "svd", "reweight": "svd", "step4": "svd",
     "strata": "strata", "step5": "strata",
-    "compilations": "compilations", "compilation_selection": "compilations", "step6": "compilations",
+    "compilations": "compilations", "compile": "compilations", "compilation_selection": "compilations", "step6": "compilations",
 }
 
 

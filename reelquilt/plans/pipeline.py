@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from reelquilt.operators import interchange, pooling, report, reweight, scoring,
 from reelquilt.plans import sinks
 from reelquilt.plans.materialize import cut
 from reelquilt.schemas import require_columns, require_frames
+from reelquilt.sources import media
 
 
 @dataclass
@@ -37,6 +39,30 @@ class Run:
         return {name: sinks.write(df, folder, name, single=name in ("statement_weights", "prototypes", "k_sweep", "reweight_report", "strata_report", "selection_metrics")) for name, df in self.tables.items() if name in sinks.ARTIFACTS}
 
 
+def import_step(run: Run, folder: str, out: str, provider: media.MediaProvider) -> Run:
+    """Makes ``manifest`` (``path, dst, resolution, error``; with reused outputs ``dst`` alone) and the number of videos."""
+    c = run.config
+    options = {"sanitize": c.sanitize_names}
+    if c.normalize:
+        options |= {"target_resolution": c.target_resolution, "uniform_resolution": c.uniform_resolution}
+    done, told = media.import_videos(run.spark, folder, out, provider, force=c.force_reimport, normalize=c.normalize, **options)
+    done = cut(done)
+    run.tables.update(imported=done, manifest=done.select("*", F.lit(json.dumps(told, sort_keys=True)).alias("settings")))
+    run.numbers["n_imported"] = done.count()
+    return run
+
+
+def frames_step(run: Run, folder: str, provider: media.MediaProvider) -> Run:
+    """Makes ``frames`` of the imported videos that could be probed."""
+    (done,) = run.need("imported")
+    c = run.config
+    good = done.where("error is null") if "error" in done.columns else done
+    probed = media.probe_media(good.select(F.col("dst").alias("path")), provider)
+    run.tables["frames"] = cut(media.extract_frames(media.extraction_plan(probed, folder), provider, c.fps, overwrite=c.overwrite_frames))
+    media.require_some_frames(run.tables["frames"])
+    return run
+
+
 def encode_and_score(run: Run, frames: DataFrame, statements: DataFrame, factory) -> Run:
     """Needs an encoder; makes ``frame_features, statement_features, frame_scores``."""
     require_frames(frames)
@@ -87,10 +113,21 @@ def strata_step(run: Run) -> Run:
     labels = cut(made.strata.join(index, "video_idx").select("video_id", "video_idx", "stratum_id", "is_prototype", "dist_to_prototype"))
     heads = strata.prototype_table(run.spark, made.prototypes).join(index, "video_idx").select("prototype_id", "video_id", "video_idx")
     coverage = strata.coverage_metrics(labels).crossJoin(strata.size_histogram(labels))
-    told = F.lit(c.k_embed).alias("k_embed_asked"), F.lit(k_used).alias("k_embed_used"), F.lit(str(c.n_strata)).alias("mode"), F.lit(made.n_strata).alias("n_strata_asked")
-    run.tables.update(embedding=z.join(index, "video_idx").select("video_id", "video_idx", "z"), prototypes=heads, strata=labels, strata_report=coverage.select("*", *told))
-    if made.sweep is not None:
+    auto = made.sweep is not None
+    told = {
+        "n_videos": labels.count(), "n_statements": scores.select("statement_index").distinct().count(),
+        "k_embed_asked": c.k_embed, "k_embed_used": k_used, "mode": "auto" if auto else "manual", "n_strata_asked": made.n_strata,
+        "init_mode": c.init, "normalize": c.normalize_embedding, "min_stratum_size": c.min_stratum_size, "seed": c.seed,
+    }
+    if auto:
+        told |= {"target_max_dist": c.target_max_dist, "k_cap": min(told["n_videos"], c.strata_cap or 20)}
+    told_of = [F.lit(v).cast("int").alias(k) if v is None else F.lit(v).alias(k) for k, v in told.items()]
+    rows = coverage.select("*", *told_of)
+    if auto:
+        chosen = made.sweep.where(F.col("K") == made.n_strata).select(F.struct("K", "mean_dist", "max_dist", "p95_dist", "min_size").alias("selected_k_metrics"))
+        rows = rows.join(chosen, how="left")  # one row each
         run.tables["k_sweep"] = made.sweep
+    run.tables.update(embedding=z.join(index, "video_idx").select("video_id", "video_idx", "z"), prototypes=heads, strata=labels, strata_report=rows)
     run.numbers.update(n_strata=made.n_strata, k_embed=k_used)
     return run
 

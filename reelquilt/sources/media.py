@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import subprocess
 from collections.abc import Iterator
 from typing import Protocol
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -25,7 +27,8 @@ from reelquilt.schemas import FRAMES, require_frames
 SUFFIXES = ("mp4", "mov", "avi", "mkv", "webm")
 UNKNOWN_HEIGHT = 99999
 # How normalised videos are encoded, what is probed, how frames are named.
-VIDEO_OPTIONS = ("-c:v", "libx264", "-pix_fmt", "yuv420p", "-crf", "18")
+INPUT_OPTIONS = ("-fflags", "+genpts")
+VIDEO_OPTIONS = ("-c:v", "libx264", "-pix_fmt", "yuv420p", "-preset", "fast", "-crf", "18")
 AUDIO_OPTIONS = ("-c:a", "aac", "-b:a", "192k", "-ar", "48000", "-ac", "2")
 CONTAINER_OPTIONS = ("-movflags", "+faststart")
 PROBE_OPTIONS = ("-v", "error", "-select_streams", "v:0", "-show_entries", "format=duration:stream=width,height", "-of", "json")
@@ -40,6 +43,9 @@ class MediaProvider(Protocol):
 
     def normalize(self, source: str, target: str, height: int | None) -> None: ...
 
+    def copy(self, source: str, target: str) -> None:
+        """Takes a file over as it is; only asked for where nothing is normalised."""
+
     def extract_frames(self, path: str, folder: str, fps: int) -> list[str]:
         """Paths of the frames written."""
 
@@ -58,7 +64,10 @@ class FfmpegProvider:
 
     def normalize(self, source: str, target: str, height: int | None) -> None:
         scale = ["-vf", f"scale=-2:{height}"] if height else []
-        self._run(["ffmpeg", "-y", "-i", source, *scale, *VIDEO_OPTIONS, *AUDIO_OPTIONS, *CONTAINER_OPTIONS, target])
+        self._run(["ffmpeg", "-y", *INPUT_OPTIONS, "-i", source, *scale, *VIDEO_OPTIONS, *AUDIO_OPTIONS, *CONTAINER_OPTIONS, target])
+
+    def copy(self, source: str, target: str) -> None:
+        shutil.copy2(local_path(source), local_path(target))
 
     def extract_frames(self, path: str, folder: str, fps: int) -> list[str]:
         os.makedirs(folder, exist_ok=True)
@@ -67,6 +76,11 @@ class FfmpegProvider:
         return sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.startswith(name + "_") and f.endswith(".jpg"))
 
 
+def local_path(path: str) -> str:
+    """A path of a folder that all executors mount, without the scheme that listings put before it."""
+    return unquote(urlparse(path).path) if path.startswith("file:") else path
+
+
 def scan_videos(spark: SparkSession, folder: str) -> DataFrame:
     """Regular media files right in a folder, ordered by path; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(folder)
@@ -136,13 +150,18 @@ def check_collisions(plan: DataFrame) -> DataFrame:
     return plan
 
 
-def run_normalization(plan: DataFrame, provider: MediaProvider) -> DataFrame:
-    """Runs the plan on the executors: ``path, dst, resolution, error`` (null where it went well)."""
+def copy_plan(plan: DataFrame) -> DataFrame:
+    """The plan with every file taken over as it is."""
+    return plan.withColumn("encode_height", F.lit(None).cast("int")).withColumn("scale", F.lit(False)).withColumn("resolution", resolution_label(F.lit(None).cast("int")))
+
+
+def run_normalization(plan: DataFrame, provider: MediaProvider, *, normalize: bool = True) -> DataFrame:
+    """Runs the plan on the executors: ``path, dst, resolution, error`` (null where it went well); copies, if told so."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def do(path: str, dst: str, height: float, scale: bool) -> str | None:
             try:
-                provider.normalize(path, dst, int(height) if scale else None)
+                provider.normalize(path, dst, int(height) if scale else None) if normalize else provider.copy(path, dst)
             except Exception as e:
                 return str(e)[:500] or type(e).__name__
 
@@ -153,18 +172,43 @@ def run_normalization(plan: DataFrame, provider: MediaProvider) -> DataFrame:
     return check_collisions(plan).mapInPandas(run, "path string, dst string, resolution string, error string")
 
 
-def import_videos(spark: SparkSession, folder: str, out: str, provider: MediaProvider, *, force: bool = False, **options) -> tuple[DataFrame, dict]:
-    """Normalise a folder into another one, or take over what is there already unless forced."""
+def import_videos(spark: SparkSession, folder: str, out: str, provider: MediaProvider, *, force: bool = False, normalize: bool = True, **options) -> tuple[DataFrame, dict]:
+    """Normalise (or copy) a folder's videos into another one, or take over what is there already unless forced.
+
+    A missing folder and one without videos are a FileNotFoundError.  ``force`` deletes what the other folder holds first;
+    it must neither be the source nor lie above it (ValueError).
+    """
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(out)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not force and fs.exists(where):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, where = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(out)
+    fs = where.getFileSystem(conf)
+    source_fs = source.getFileSystem(conf)
+    if not source_fs.exists(source):
+        raise FileNotFoundError(folder)
+    if force and fs.exists(where):
+        inside, outer = (f.makeQualified(p).toString().rstrip("/") + "/" for f, p in ((source_fs, source), (fs, where)))
+        if inside.startswith(outer):
+            raise ValueError(f"{out} holds the videos to be imported")
+        fs.delete(where, True)
+    elif fs.exists(where):
         there = scan_videos(spark, out)
         if not there.isEmpty():
             return there.select(F.col("path").alias("dst")), {"reused": True}
+    files = scan_videos(spark, folder)
+    if files.isEmpty():
+        raise FileNotFoundError(f"no videos in {folder}")
     fs.mkdirs(where)
-    done = run_normalization(normalization_plan(probe_media(scan_videos(spark, folder), provider), out, **options), provider)
-    return done, {"reused": False, **options}
+    if normalize:
+        plan = normalization_plan(probe_media(files, provider), out, **options)
+    else:  # nothing has to be known of files that stay as they are
+        plan = copy_plan(normalization_plan(files.select("path", F.lit(None).cast("int").alias("height")), out, sanitize=options.get("sanitize", True)))
+    return run_normalization(plan, provider, normalize=normalize), {"reused": False, "normalize": normalize, **options}
+
+
+def frames_in(folder: str) -> list[str]:
+    """Frames in a folder, in the order of their names; none where there is no such folder."""
+    where = local_path(folder)
+    return sorted(f"{folder}/{f}" for f in os.listdir(where) if f.endswith(".jpg")) if os.path.isdir(where) else []
 
 
 def extraction_plan(videos: DataFrame, folder: str) -> DataFrame:
@@ -173,14 +217,18 @@ def extraction_plan(videos: DataFrame, folder: str) -> DataFrame:
     return usable.select(stem(F.col("path")).alias("video_id"), "path", F.concat(F.lit(folder.rstrip("/") + "/"), stem(F.col("path"))).alias("folder"))
 
 
-def extract_frames(plan: DataFrame, provider: MediaProvider, fps: int = 3) -> DataFrame:
-    """Frame index of the plan's videos; one whose extraction fails has no frames."""
+def extract_frames(plan: DataFrame, provider: MediaProvider, fps: int = 3, *, overwrite: bool = True) -> DataFrame:
+    """Frame index of the plan's videos; one whose extraction fails has no frames.
+
+    Without ``overwrite`` the frames that a video's folder holds already are taken as they are.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for video, path, folder in zip(pdf["video_id"], pdf["path"], pdf["folder"]):
+                paths = [] if overwrite else frames_in(folder)
                 try:
-                    paths = provider.extract_frames(path, folder, fps)
+                    paths = paths or provider.extract_frames(path, folder, fps)
                 except Exception:
                     paths = []
                 if paths:

@@ -420,9 +420,12 @@ def test_pipeline(spark, tmp_path):
     assert run.tables["interchangeability"].count() == 4
     names = run.tables["compilation_members"].join(run.tables["video_index"], "video_idx")
     assert names.where("video_id = 'v23'").isEmpty()  # it has no duration
+    (told,) = run.tables["strata_report"].collect()
+    assert (told["n_videos"], told["n_statements"], told["mode"], told["init_mode"], told["min_stratum_size"], told["seed"], told["k_cap"]) == (24, 6, "auto", "medoid", 3, None, 20)
+    assert told["selected_k_metrics"]["K"] == told["n_strata_asked"] and told["selected_k_metrics"]["max_dist"] == pytest.approx(told["max_dist"]) and told["target_max_dist"] == 0.35
     saved = run.save(str(tmp_path))
     assert {"strata", "k_sweep", "compilations", "statement_weights"} <= set(saved)
-    for step in ("encoding", "aggregation", "svd", "strata", "compilation_selection", "COMPILATIONS"):
+    for step in ("encoding", "aggregation", "svd", "reduce", "strata", "compile", "compilation_selection", "COMPILATIONS"):
         assert all(df.count() for df in run.summary(step).values())
     with pytest.warns(UserWarning):
         assert run.summary("import") == {}

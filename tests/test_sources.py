@@ -4,9 +4,11 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from reelquilt import config, schemas
-from reelquilt.plans import sinks
+from reelquilt.config import PipelineConfig
+from reelquilt.plans import pipeline, sinks
 from reelquilt.sources import media, statements
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import test modules
@@ -108,6 +110,55 @@ def test_import_and_reuse(spark, videos, tmp_path):
     assert told == {"reused": True} and again.count() == 2
 
 
+def test_copies_where_nothing_is_normalised(spark, videos, tmp_path):
+    out = str(tmp_path / "out")
+    done, told = media.import_videos(spark, videos, out, media.FfmpegProvider(), normalize=False)
+    rows = {os.path.basename(r["dst"]): r for r in done.collect()}
+    assert set(rows) == {"tall.mp4", "small_one.mp4", "broken.mp4"} and {r["resolution"] for r in rows.values()} == {"original"}
+    assert all(r["error"] is None and open(f"{out}/{name}", "rb").read() == b"x" for name, r in rows.items())
+    assert told == {"reused": False, "normalize": False}
+
+
+def test_forced_import_and_missing_folders(spark, videos, tmp_path):
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "old.mp4").write_bytes(b"x")
+    media.import_videos(spark, videos, str(out), Fake(), force=True)[0].collect()
+    assert sorted(f for f in os.listdir(out) if f.endswith(".mp4")) == ["small_one.mp4", "tall.mp4"]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError, match="no videos"):
+        media.import_videos(spark, str(tmp_path / "empty"), str(tmp_path / "o"), Fake())
+    with pytest.raises(FileNotFoundError):
+        media.import_videos(spark, str(tmp_path / "missing"), str(tmp_path / "o"), Fake())
+    for holder in (videos, str(tmp_path)):
+        with pytest.raises(ValueError, match="to be imported"):
+            media.import_videos(spark, videos, holder, Fake(), force=True)
+    assert os.path.exists(f"{videos}/tall.mp4")
+
+
+def test_encoder_options(monkeypatch):
+    asked = []
+    monkeypatch.setattr(media.FfmpegProvider, "_run", lambda self, args: asked.append(args))
+    media.FfmpegProvider().normalize("a.mov", "b.mp4", 720)
+    (args,) = asked
+    assert args.index("-fflags") < args.index("-i") and args[args.index("-preset") + 1] == "fast" and args[args.index("-vf") + 1] == "scale=-2:720" and args[-1] == "b.mp4"
+
+
+def test_steps_follow_the_configuration(spark, videos, tmp_path):
+    run = pipeline.Run(spark, PipelineConfig(normalize=True, target_resolution=720, fps=2))
+    pipeline.import_step(run, videos, str(tmp_path / "out"), Fake())
+    assert {r["resolution"] for r in run.tables["manifest"].where("error is null").collect()} == {"720p", "480p"}
+    assert json.loads(run.tables["manifest"].first()["settings"])["target_resolution"] == 720
+    pipeline.frames_step(run, str(tmp_path / "frames"), Fake())
+    assert run.tables["frames"].groupBy("video_id").count().collect() and run.tables["frames"].count() == 6
+    assert run.summary("step1")["settings"].first()["n_videos"] == 3
+    kept = tmp_path / "frames" / "tall"
+    kept.mkdir(parents=True)
+    (kept / "tall_000001.jpg").write_bytes(b"x")
+    again = pipeline.frames_step(pipeline.Run(spark, PipelineConfig(overwrite_frames=False), {"imported": run.tables["imported"]}), str(tmp_path / "frames"), Fake())
+    assert {r["video_id"]: r["n"] for r in again.tables["frames"].groupBy("video_id").agg(F.count("*").alias("n")).collect()} == {"tall": 1, "small_one": 3}
+
+
 HEIGHTS = [(None,), (480,), (720,), (1080,)]
 
 

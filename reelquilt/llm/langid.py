@@ -4,6 +4,9 @@ The model is a ``(buckets, languages)`` matrix of log-probabilities.  It is fitt
 labelled rows, broadcast (its size is fixed by ``buckets`` and the number of languages), and applied to whole texts:
 every character n-gram of every word is scored in numpy, the scores are summed per word, and the most probable sequence
 of languages (a Viterbi path with a price for every change) divides each text into passages.
+
+A passage's confidence is the share of its words that are to be expected to be in its language: a logistic function of
+its lead over the next language and of its length, fitted on passages put together from texts that the model hasn't seen.
 """
 
 from __future__ import annotations
@@ -11,15 +14,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from reelquilt.llm.texts import slices
+
 LANGUAGES = ("en", "de", "fr", "it", "es")
 
-# The words for "page" and "of" in running heads of the five languages.
+# The words for "page" and "of" in running heads of the five languages.  They tell the heads that occur once;
+# those that recur are told by their numbers, whatever their words.
 _PAGE = r"(?:page|seite|pagina|página)"
 _OF = r"(?:of|von|sur|di|de)"
 _RUNNING_HEAD = re.compile(
@@ -40,9 +46,36 @@ def _letter_table() -> np.ndarray:
 _LETTER: np.ndarray | None = None
 
 
+_HEAD_CHARS = 90
+_NUMBER = re.compile(r"\d+")
+_LETTERS = re.compile(r"[^\W\d_]")
+
+
+def _without_running_heads(text: str) -> str:
+    """The text without lines that stand alone and recur with one number counting up, and nothing else changed."""
+    lines = text.split("\n")
+    found: dict[str, list[tuple[int, list[str]]]] = {}
+    for i in range(1, len(lines) - 1):
+        line = lines[i].strip()
+        if line and len(line) <= _HEAD_CHARS and not lines[i - 1].strip() and not lines[i + 1].strip() and _LETTERS.search(line):
+            numbers = _NUMBER.findall(line)
+            if numbers:
+                found.setdefault(_NUMBER.sub("0", line), []).append((i, numbers))
+    drop = set()
+    for places in found.values():
+        if len(places) < 2:
+            continue
+        changing = [column for column in zip(*(numbers for _, numbers in places)) if len(set(column)) > 1]
+        if len(changing) == 1:
+            counts = [int(x[:18]) for x in changing[0]]
+            if all(b == a + 1 for a, b in zip(counts, counts[1:])):
+                drop.update(i for i, _ in places)
+    return "\n".join(line for i, line in enumerate(lines) if i not in drop) if drop else text
+
+
 def clean_text(text: str) -> str:
     """Lower case, composed, without page heads and with words split at a line end put together."""
-    text = "\n" + unicodedata.normalize("NFC", text)
+    text = "\n" + _without_running_heads(unicodedata.normalize("NFC", text))
     if _RUNNING_HEAD.search(text):
         text = _RUNNING_HEAD.sub("\n", text)
     if "-\n" in text or "­" in text or "- \n" in text:
@@ -52,12 +85,17 @@ def clean_text(text: str) -> str:
 
 @dataclass(frozen=True)
 class NgramModel:
-    """Log-probabilities of hashed n-grams, ``weights[bucket, language]``; buckets are a power of two."""
+    """Log-probabilities of hashed n-grams, ``weights[bucket, language]``; buckets are a power of two.
+
+    ``calibration`` has the factors of 1, the logarithm of a passage's lead and that of its words in the log odds of its
+    words being in its language.
+    """
 
     languages: tuple[str, ...]
     orders: tuple[int, ...]
     buckets: int
     weights: np.ndarray
+    calibration: tuple[float, float, float] | None = None
 
 
 def _chars(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,6 +252,102 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _lead(sums: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """By how much each passage's language leads the next one."""
+    at = np.arange(len(sums))
+    others = sums.copy()
+    others[at, picked] = -np.inf
+    return sums[at, picked] - others.max(axis=1)
+
+
+def _features(lead: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(lead)), np.log1p(np.maximum(lead, 0)), np.log(np.maximum(sizes, 1))], axis=1)
+
+
+def confidence(model: NgramModel, sums: np.ndarray, picked: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Expected share of words in the language ``picked`` for passages with summed scores and numbers of words."""
+    if not len(sums):
+        return np.zeros(0)
+    if model.calibration is not None:
+        return 1 / (1 + np.exp(-np.clip(_features(_lead(sums, picked), sizes) @ np.array(model.calibration), -30, 30)))
+    scaled = sums / np.sqrt(np.maximum(sizes, 1))[:, None]
+    odds = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+    return odds[np.arange(len(sums)), picked] / odds.sum(axis=1)
+
+
+def mixtures(texts: Sequence[str], labels: Sequence[int], n: int, rng: np.random.Generator) -> Iterator[list[tuple[str, int]]]:
+    """Texts put together from windows of others, as (window, language): short ones, whole ones, ones with an insertion."""
+    words = [t.split() for t in texts]
+    usable = [i for i, w in enumerate(words) if len(w) >= 3]
+
+    def window(size: int) -> tuple[str, int]:
+        i = usable[rng.integers(len(usable))]
+        start = int(rng.integers(max(1, len(words[i]) - size + 1)))
+        return " ".join(words[i][start : start + size]), labels[i]
+
+    for k in range(n if usable else 0):
+        if k % 3 == 0:
+            yield [window(int(rng.integers(1, 9)))]
+        elif k % 3 == 1:
+            yield [window(int(rng.integers(8, 200)))]
+        else:
+            yield [window(int(rng.integers(10, 90))), window(int(2 ** rng.uniform(0, 6))), window(int(rng.integers(10, 90)))]
+
+
+def mixed_passages(model: NgramModel, parts: Sequence[list[tuple[str, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Summed scores, language, words and true share of words in it, of the passages of texts whose languages are known."""
+    joined = [clean_text(" ".join(w for w, _ in p)) for p in parts]
+    centres, owner, bounds, hashes, _ = words_of(joined, model.orders, model.buckets)
+    total = word_scores(model, centres, owner, hashes)
+    path = viterbi(total, bounds)
+    truth = np.full(len(path), -1)
+    for k, p in enumerate(parts):
+        at = int(bounds[k])
+        for text, lang in p:  # the words of the parts are those of the whole, as parts are joined by white space
+            size = len(words_of([clean_text(text)], model.orders, model.buckets)[1])
+            truth[at : min(at + size, int(bounds[k + 1]))] = lang
+            at += size
+    starts = np.zeros(len(path) + 1, dtype=bool)
+    starts[bounds] = True
+    starts[1:-1] |= path[1:] != path[:-1]
+    heads = np.flatnonzero(starts[:-1])
+    sizes = np.diff(np.append(heads, len(path)))
+    return np.add.reduceat(total, heads, axis=0), path[heads], sizes, np.add.reduceat(truth == path, heads) / sizes
+
+
+def calibrated(model: NgramModel, texts: Sequence[str], labels: Sequence[int], *, held: int = 5, n: int = 1500, seed: int = 1234, **fit_options) -> NgramModel:
+    """The model with its confidence fitted: every ``held``-th text of a language is kept from a second model of the rest.
+
+    Passages of ``n`` texts put together from the kept ones show how often that model is right; texts whose label it
+    contradicts aren't used.  Without enough texts the model comes back as it is.
+    """
+    rank: dict[int, int] = {}
+    kept = []
+    for lang in labels:
+        rank[lang] = rank.get(lang, -1) + 1
+        kept.append(rank[lang] % held == held - 1)
+    rest = [i for i, k in enumerate(kept) if not k]
+    own = [i for i, k in enumerate(kept) if k]
+    if not own:
+        return model
+    second = fit([texts[i] for i in rest], [labels[i] for i in rest], languages=model.languages, orders=model.orders, buckets=model.buckets, **fit_options)
+    main = [max(found, key=lambda s: s[1])[0] if found else None for found in passages(second, [texts[i] for i in own])]
+    agreed = [i for i, lang in zip(own, main) if lang == model.languages[labels[i]]]
+    parts = list(mixtures([texts[i] for i in agreed], [labels[i] for i in agreed], n, np.random.default_rng(seed)))
+    if not parts:
+        return model
+    sums, picked, sizes, right = mixed_passages(second, parts)
+    x = _features(_lead(sums, picked), sizes)
+    b = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton's method, with a small penalty so that it ends where everything is right
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(b)), x.T @ (right - p) - 0.1 * b)
+        b += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return replace(model, calibration=tuple(map(float, b)))
+
+
 def passages(model: NgramModel, texts: Sequence[str | None]) -> Iterator[list[tuple[str, int, float]]]:
     """For each text its passages as (language, words, confidence), in order; none for a text without a letter.
 
@@ -253,14 +387,12 @@ def passages(model: NgramModel, texts: Sequence[str | None]) -> Iterator[list[tu
     heads = np.flatnonzero(starts[:-1])
     sums = np.add.reduceat(total, heads, axis=0) if len(heads) else total
     sizes = np.diff(np.append(heads, len(path)))
-    sums = sums / np.sqrt(np.maximum(sizes, 1))[:, None]
+    picked = path[heads]
+    sure = confidence(model, sums, picked, sizes)
     if len(heads):  # numbers are words too: all within a passage, and those on the line of its last word
         beside = np.concatenate(numbers)
         last = heads + sizes - 1
         sizes = sizes + np.add.reduceat(beside[:, 1], heads) - beside[last, 1] + beside[last, 0]
-    odds = np.exp(sums - sums.max(axis=1, keepdims=True)) if len(sums) else sums
-    picked = path[heads]
-    sure = odds[np.arange(len(heads)), picked] / odds.sum(axis=1) if len(heads) else odds[:, 0]
     edges = np.searchsorted(heads, bounds)
     for k in range(len(texts)):
         a, b = edges[k], edges[k + 1]
@@ -274,10 +406,8 @@ def label_language(label, languages: Sequence[str] = LANGUAGES):
     return F.when(code != "", code)
 
 
-def fit_on_sample(
-    docs: DataFrame, *, text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = 400, max_chars: int = 200_000, **fit_options
-) -> NgramModel:
-    """Fit on at most ``per_language`` distinct texts of each language that labels name.
+def sample_texts(docs: DataFrame, *, text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = 400, max_chars: int = 200_000) -> tuple[list[str], list[int]]:
+    """At most ``per_language`` distinct texts of each language that labels name, and the numbers of their languages.
 
     They are those with the smallest hashes among the language's texts, so that the sample is the same however the table
     is partitioned, and copies of a text count once.  Only hashes are compared; the texts taken are read in a second
@@ -288,13 +418,26 @@ def fit_on_sample(
     ranked = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language)
     limits = {r["l"]: r["h"] for r in ranked.groupBy("l").agg(F.max("h").alias("h")).collect()}
     if not limits:
-        return fit([], [], languages=languages, **fit_options)
+        return [], []
     taken = F.lit(False)
     for lang, most in limits.items():
         taken = taken | ((F.col("l") == lang) & (F.col("h") <= most))
     picked = rows.where(taken).select("t", "l").distinct().toArrow()
     order = sorted(zip(picked["t"].to_pylist(), picked["l"].to_pylist()))
-    return fit([t for t, _ in order], [list(languages).index(lang) for _, lang in order], languages=languages, **fit_options)
+    return [t for t, _ in order], [list(languages).index(lang) for _, lang in order]
+
+
+def fit_on_sample(
+    docs: DataFrame, *, text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = 400, max_chars: int = 200_000, **fit_options
+) -> NgramModel:
+    """:func:`fit` on :func:`sample_texts`."""
+    return fit(*sample_texts(docs, text=text, label=label, languages=languages, per_language=per_language, max_chars=max_chars), languages=languages, **fit_options)
+
+
+def fit_calibrated(docs: DataFrame, *, text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = 400, max_chars: int = 200_000, **fit_options) -> NgramModel:
+    """:func:`fit_on_sample`, its confidence :func:`calibrated` on the same sample."""
+    texts, labels = sample_texts(docs, text=text, label=label, languages=languages, per_language=per_language, max_chars=max_chars)
+    return calibrated(fit(texts, labels, languages=languages, **fit_options), texts, labels, **fit_options)
 
 
 _SEGMENTS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("confidence", T.DoubleType())]))
@@ -316,10 +459,9 @@ def detect_languages(docs: DataFrame, model: NgramModel, *, doc_id: str = "doc_i
         fitted = shared.value
         seg_type = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int32()), ("confidence", pa.float64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part, texts in slices(batch, 1):
                 langs, sures, segs = [], [], []
-                for found in passages(fitted, part.column(1).to_pylist()):
+                for found in passages(fitted, texts):
                     words: dict[str, int] = {}
                     for lang, n, _ in found:
                         words[lang] = words.get(lang, 0) + n

@@ -115,7 +115,7 @@ def p9_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _language_model(docs: DataFrame) -> langid.NgramModel:
-    return langid.fit_on_sample(docs)
+    return langid.fit_calibrated(docs)
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:

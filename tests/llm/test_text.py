@@ -163,6 +163,45 @@ def test_held_out_accuracy(spark):
     assert share > 0.87  # about one label in eleven is wrong
 
 
+def test_confidence_is_reliable(spark):
+    """Of passages with about a confidence, about that share of words is in their language, on texts not seen before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = langid.fit_calibrated(docs.where("pmod(doc_id, 2) = 0"))
+    texts, labels = langid.sample_texts(docs.where("pmod(doc_id, 2) = 1"))
+    main = [max(found, key=lambda s: s[1])[0] if found else None for found in langid.passages(fitted, texts)]
+    own = [i for i, lang in enumerate(main) if lang == langid.LANGUAGES[labels[i]]]
+    assert len(own) > 0.85 * len(texts)
+    parts = list(langid.mixtures([texts[i] for i in own], [labels[i] for i in own], 3000, np.random.default_rng(9)))
+    sums, picked, sizes, right = langid.mixed_passages(fitted, parts)
+    sure = langid.confidence(fitted, sums, picked, sizes)
+    assert np.ptp(sure) > 0.3 and sure[sizes < 3].mean() < sure[sizes > 40].mean() - 0.05  # short passages are less certain
+    edges = np.quantile(sure, np.linspace(0, 1, 9))
+    for low, high in zip(edges, edges[1:]):
+        some = (sure >= low) & (sure <= high)
+        assert abs(sure[some].mean() - right[some].mean()) <= 0.05
+
+
+def test_running_heads_are_told_by_their_numbers():
+    body = "the court held that the appeal was dismissed"
+    heads = [f"Kammer 7 * Blatt {i} / 4" for i in (2, 3, 4)]
+    text = body + "".join(f"\n\n{h}\n\n{body}" for h in heads) + "\n\nArticle 5\n\n" + body + "\n\nArticle 9\n\n" + body
+    assert "blatt" not in langid.clean_text(text) and langid.clean_text(text).count("article") == 2
+    assert "blatt" in langid.clean_text(body + "\n\n" + heads[0] + "\n\n" + body)  # once: nothing tells that it's no part of the text
+    assert "page" not in langid.clean_text(body + "\n\nPage 2 of 2\n\n" + body)
+
+
+def test_very_long_and_null_texts_are_sliced():
+    import pyarrow as pa
+
+    from reelquilt.llm.texts import slices
+
+    texts = ["a" * 50, None, "", "b" * 500, "c" * 60, "d" * 60, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    got = list(slices(batch, 1, 160))
+    assert [t for _, part in got for t in part] == texts and [part.num_rows for part, _ in got] == [3, 1, 2, 1]
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
 def test_empty_sample(spark):
     empty = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     fitted = langid.fit_on_sample(empty)

@@ -87,6 +87,39 @@ def test_leak_edges(spark):
     assert leakage.find_leaks(docs(spark, rows), items(spark, [])).count() == 0
 
 
+def test_pieces_joined_by_hash_give_the_same_rows(spark):
+    """Also for long texts, short items, items that share their pieces, and passages that only Myers' distance finds."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(25)] + ["été", "straße"]
+    stock = [rng.choice(words) for _ in range(9)]
+    its = [(i, " ".join([*stock[: rng.randint(0, 9)], *(rng.choice(words) for _ in range(rng.choice([1, 3, 7, 20, 60])))])) for i in range(40)] + [(0, "solo"), (99, None), (None, "a b c d e f g h")]
+    texts = []
+    for d in range(40):
+        body = []
+        for _ in range(rng.randint(0, 6)):
+            w = its[rng.randrange(40)][1].split()
+            part = w[rng.randrange(len(w)) :]
+            if rng.random() < 0.6:
+                part[rng.randrange(len(part))] = "other"
+            body += [*(rng.choice(words) for _ in range(rng.choice([0, 2, 300]))), *part]
+        texts.append((d % 35, " ".join(body)))
+    texts += [(50, None), (51, ""), (None, "a b c d e f g h"), (52, " ".join(["w1 w2"] * 3000))]
+    tell = lambda n: sorted((str(r["doc_id"]), str(r["item_id"]), r["matched_words"], r["edits"]) for r in leakage.find_leaks(docs(spark, texts), items(spark, its), min_words=12, max_edits=e, block_chars=n).collect())
+    for e in (0, 1, 2):
+        want = tell(10**6)
+        assert want and tell(10) == want
+        assert not e or any(0 < x[3] <= e for x in want)
+
+
+def test_piece_hashes():
+    flat = " ab c déf ab c déf gh "
+    for piece in (1, 2, 3):
+        h, w = leakage.piece_hashes(flat, piece), flat.split()
+        grams = [tuple(w[i : i + piece]) for i in range(len(w) - piece + 1)]
+        assert len(h) == len(grams) and len({(g, x) for g, x in zip(grams, h.tolist())}) == len(set(grams)) == len(set(h.tolist()))
+    assert len(leakage.piece_hashes(" a ", 2)) == 0
+
+
 # --- languages ---
 
 SAMPLES = {

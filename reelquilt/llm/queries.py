@@ -176,4 +176,15 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": """
             WITH m AS (SELECT coalesce(video_id, regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '')) AS video_id, duration_s, probed_at FROM media_probe WHERE duration_s > 0 AND isfinite(duration_s))
             SELECT video_id FROM m GROUP BY video_id HAVING arg_max(duration_s, probed_at) > 65.0""",
+        "p8_found": r"""
+            WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM eval_items),
+            w AS (SELECT kind, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '([\p{L}\p{N}])[-\x{00AD}\x{2010}\x{2011}][ \t\r]*\n\s*([\p{L}\p{N}])', '\1\2', 'g'))), '[\p{L}\p{N}]+') AS w FROM t WHERE text IS NOT NULL),
+            g AS (SELECT kind, id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12))
+            SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1""",
+        # sizes in characters stand for tokens: no source is near the limit
+        "p9_found": r"""
+            WITH t AS (SELECT source, target_share, max_repeats, regexp_replace(lower(source), '[^\p{L}\p{N}]', '', 'g') AS k FROM source_targets),
+            d AS (SELECT regexp_replace(lower(source), '[^\p{L}\p{N}]', '', 'g') AS k, sum(coalesce(length(text), 0)) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1),
+            j AS (SELECT t.*, coalesce(d.n, 0) AS n FROM t LEFT JOIN d USING (k))
+            SELECT source FROM j WHERE n * max_repeats < target_share * (SELECT sum(n) FROM j)""",
     }

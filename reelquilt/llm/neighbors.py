@@ -1,8 +1,10 @@
 """The k most similar vectors of every vector: vantage-point trees per shard, with relaxed pruning.
 
 Vectors are compared by cosine; trees use the Euclidean distance of the unit vectors, which has the same order.  The
-first levels of the tree are fitted on a bounded sample and divide the collection into shards; every row goes to its
-shard, and every shard (in chunks of bounded size) builds the rest of its tree.  A query visits the shards and subtrees
+first levels of the tree are fitted on a bounded sample; where that makes too few shards of the wanted size, each of its
+leaves is divided further by a sample of its own, fitted in a task, so that the number of shards grows with the collection
+(up to the square of a sample's leaves).  Every row goes to its shard, and every shard (in chunks of bounded size, should
+it be larger) builds the rest of its tree.  A query visits the shards and subtrees
 that the triangle inequality can't rule out.  ``factor`` scales the radius in that test: at 1 the search is exact, below
 1 it visits less and may miss neighbours near a boundary.
 
@@ -12,6 +14,7 @@ only those are indexed and searched; further copies take over what follows from
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -92,6 +95,61 @@ def route(tree: VpTree, vectors: np.ndarray, reach: np.ndarray | None) -> tuple[
     return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, dtype=np.int64),) * 2
 
 
+def grafted(top: VpTree, below: dict[int, VpTree]) -> VpTree:
+    """A tree whose leaves are divided further by the trees that ``below`` has for them; leaves are numbered anew."""
+    out = VpTree()
+
+    def copied(node: Node, divide: bool) -> Node:
+        if node.rows is None:
+            return Node(node.point, node.split, node.ranges, copied(node.near, divide), copied(node.far, divide))
+        if divide and node.leaf in below:
+            return copied(below[node.leaf].root, False)
+        out.leaves += 1
+        return Node(rows=np.zeros(0, dtype=np.int64), leaf=out.leaves - 1)
+
+    out.root = copied(top.root, True)
+    return out
+
+
+def fit_router(index: DataFrame, n: int, d: int, *, chunk_rows: int, sample_rows: int, seed: int) -> VpTree:
+    """Vantage-point tree with about a leaf for each ``chunk_rows`` of the ``n`` rows (``id``, ``z``).
+
+    Two levels of samples of at most twice ``sample_rows`` rows, each of which makes leaves of 64 sampled rows at least;
+    the tree is sent to the executors, of which the square of a sample's leaves is the bound.
+    """
+    spark, scale, least = index.sparkSession, 1 << 30, 64
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale))
+    sample = index.where(drawn < int(min(1.0, sample_rows / max(n, 1)) * scale)).select("id", "z").limit(2 * sample_rows).toArrow().sort_by("id")
+    points = unit_rows(matrix(sample.column("z"), d))
+    wanted = max(1, -(-n // chunk_rows))
+    tree = build(points, max(least, -(-len(points) // wanted)), seed)
+    if wanted <= tree.leaves or -(-len(points) // wanted) >= least:
+        return tree
+    shared = spark.sparkContext.broadcast(tree)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                r, leaf = route(shared.value, unit_rows(matrix(part.column(1), d)), None)
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=["leaf", "id", "z"])
+
+    placed = cut(index.select("id", "z").mapInArrow(place, T.StructType([T.StructField("leaf", T.IntegerType()), index.schema["id"], index.schema["z"]])))
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") > chunk_rows)  # a row for each of the top's leaves
+    some = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(scale))
+
+    def divide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = unit_rows(matrix(table.column("z"), d))
+        below = build(x, max(least, -(-len(x) * chunk_rows // table.column("m")[0].as_py())), seed)
+        return pa.table([table.column("leaf").slice(0, 1), pa.array([pickle.dumps(below)])], names=["leaf", "tree"])
+
+    chosen = placed.join(F.broadcast(sizes), "leaf").where(some < F.floor(F.lit(float(scale * sample_rows)) / F.col("m")))
+    found = chosen.groupBy("leaf").applyInArrow(divide, "leaf int, tree binary").collect()
+    return grafted(tree, {r["leaf"]: pickle.loads(r["tree"]) for r in found})
+
+
 class ShardSearch:
     """Best ``k`` of one chunk's rows for batches of queries."""
 
@@ -161,7 +219,7 @@ class ShardSearch:
 
 @dataclass
 class Prepared:
-    """Vectors ready to be searched: ``id``, ``u`` (unit vector), ``copy`` (rank of the id among copies of its vector)."""
+    """Vectors ready to be searched: ``id``, ``z`` (as given), ``u`` (at length 1)."""
 
     rows: DataFrame
     size: int | None
@@ -173,11 +231,11 @@ def prepare(df: DataFrame, *, item: str, vector: str, size: int | None = None) -
     size = size if size is not None else common_size(own, "z")
     kept = own.where(F.col("id").isNotNull() & usable(F.col("z"), size)).select("id", F.col("z").cast("array<double>").alias("z"))
     rows = kept.groupBy("id").agg(F.min("z").alias("z"))
-    schema = T.StructType([rows.schema["id"], T.StructField("u", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("u", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(unit_rows(matrix(batch.column(1), size)))], names=["id", "u"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(unit_rows(matrix(batch.column(1), size)))], names=schema.names)
 
     return Prepared(rows.mapInArrow(run, schema), size)
 
@@ -208,41 +266,37 @@ def nearest(
     spark = df.sparkSession
     key = df.schema[item].dataType
     ready = prepare(df, item=item, vector=vector, size=size)
-    copies = W.partitionBy("h", "u").orderBy("id")
+    copies = W.partitionBy("h", "g").orderBy("id")
     d = ready.size
     out_cols = lambda x: x.select(F.col("a").cast(key).alias(f"{item}_a"), F.col("b").cast(key).alias(f"{item}_b"), "cosine", "rank")
     if d is None:
         return spark.createDataFrame([], T.StructType([T.StructField(f"{item}_a", key), T.StructField(f"{item}_b", key), T.StructField("cosine", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
-    base = ready.rows.withColumn("h", F.xxhash64("u"))  # hashes are compared before vectors
+    # Copies are told by 128 bits of hash of the unit vector.  What is shuffled is the vector as given, which has fewer
+    # digits as a rule; it is brought to length 1 where it is used.
+    base = ready.rows.select("id", "z", F.xxhash64("u").alias("h"), F.xxhash64(F.lit(seed), "u").alias("g"))
     base = cut(base) if all_copies else base
-    index = cut(base.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select(F.col("id").cast("long").alias("id"), "u"))
+    index = cut(base.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select(F.col("id").cast("long").alias("id"), "z"))
     n = index.count()
-    levels_of = max(1, -(-n // chunk_rows))
-    share = min(1.0, sample_rows / max(n, 1))
-    scale = 1 << 30
-    sample = index.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) < int(share * scale)).limit(2 * sample_rows).toArrow()
-    sample = sample.sort_by("id")
-    points = matrix(sample.column("u"), d)
-    tree = build(points, max(64, -(-len(points) // levels_of)), seed)
+    tree = fit_router(index, n, d, chunk_rows=chunk_rows, sample_rows=sample_rows, seed=seed)
     shared = spark.sparkContext.broadcast(tree)
     limit = FAR if min_cosine is None else float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     asked = index.where(queries) if queries is not None else index
 
     def sharded(rows: DataFrame, bounded: bool, home: bool) -> DataFrame:
-        fields = [T.StructField("shard", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("u", T.ArrayType(T.DoubleType())), T.StructField("bound", T.DoubleType())]
+        fields = [T.StructField("shard", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("bound", T.DoubleType())]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
                     bound = part.column(2).to_numpy(zero_copy_only=False)
-                    r, leaf = route(shared.value, matrix(part.column(1), d), None if home else factor * bound)
+                    r, leaf = route(shared.value, unit_rows(matrix(part.column(1), d)), None if home else factor * bound)
                     for b in range(0, len(r), 4096):
                         take = pa.array(r[b : b + 4096])
-                        yield pa.RecordBatch.from_arrays([pa.array(leaf[b : b + 4096].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["shard", "id", "u", "bound"])
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf[b : b + 4096].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["shard", "id", "z", "bound"])
 
         held = rows if bounded else rows.withColumn("bound", F.lit(limit))
-        return held.select("id", "u", "bound").mapInArrow(run, T.StructType(fields))
+        return held.select("id", "z", "bound").mapInArrow(run, T.StructType(fields))
 
     def searched(at: DataFrame) -> DataFrame:
         """(a, b, cosine) found in the shards that the rows of ``at`` were sent to."""
@@ -257,8 +311,8 @@ def nearest(
         chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
         salt = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("salts"))
         series = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        rows = own.join(F.broadcast(plan), "shard").select("shard", chunk.cast("int").alias("chunk"), series("salts").alias("salt"), F.lit(0).alias("asks"), "id", "u", "bound")
-        asked_rows = at.join(F.broadcast(plan), "shard").select("shard", series("chunks").alias("chunk"), salt.cast("int").alias("salt"), F.lit(1).alias("asks"), "id", "u", "bound")
+        rows = own.join(F.broadcast(plan), "shard").select("shard", chunk.cast("int").alias("chunk"), series("salts").alias("salt"), F.lit(0).alias("asks"), "id", "z", "bound")
+        asked_rows = at.join(F.broadcast(plan), "shard").select("shard", series("chunks").alias("chunk"), salt.cast("int").alias("salt"), F.lit(1).alias("asks"), "id", "z", "bound")
         both = rows.unionByName(asked_rows).repartition("shard", "chunk", "salt").sortWithinPartitions("shard", "chunk", "salt", "asks")
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +326,7 @@ def nearest(
                         place, ids, vectors, engine = now, [], [], None
                     own_ids = part.column(4).to_numpy(zero_copy_only=False)
                     if not places[a, 3]:
-                        ids.append(own_ids), vectors.append(matrix(part.column(5), d))
+                        ids.append(own_ids), vectors.append(unit_rows(matrix(part.column(5), d)))
                         continue
                     if engine is None:
                         if not ids:
@@ -282,7 +336,7 @@ def nearest(
                     for at in range(0, part.num_rows, 4096):
                         piece = part.slice(at, 4096)
                         mine = piece.column(4).to_numpy(zero_copy_only=False)
-                        q, other, cos = engine.search(matrix(piece.column(5), d), mine, piece.column(6).to_numpy(zero_copy_only=False) + 1e-9)
+                        q, other, cos = engine.search(unit_rows(matrix(piece.column(5), d)), mine, piece.column(6).to_numpy(zero_copy_only=False) + 1e-9)
                         yield pa.RecordBatch.from_arrays([pa.array(mine[q]), pa.array(other), pa.array(cos)], names=["a", "b", "cosine"])
 
         return both.mapInArrow(run, "a long, b long, cosine double")
@@ -299,11 +353,11 @@ def nearest(
     out = top(found)
     if all_copies:
         marked = base.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
-        heads = marked.groupBy("u").agg(F.max("copy").alias("m"), F.sort_array(F.collect_list(F.struct("copy", F.col("id").cast("long").alias("b")))).alias("first")).where(F.col("m") == k + 1)
-        salts = 32
-        heads = heads.select("u", F.element_at("first", k + 1)["b"].alias("last"), F.slice("first", 1, k).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        heads = marked.groupBy("h", "g").agg(F.max("copy").alias("m"), F.sort_array(F.collect_list(F.struct("copy", F.col("id").cast("long").alias("b")))).alias("first")).where(F.col("m") == k + 1)
+        salts = max(32, spark.sparkContext.defaultParallelism * 4)
+        heads = heads.select("h", "g", F.element_at("first", k + 1)["b"].alias("last"), F.slice("first", 1, k).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         others = (base.where(queries) if queries is not None else base).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        more = others.join(heads, ["u", "salt"]).where(F.col("id") > F.col("last")).select(F.col("id").cast("long").alias("a"), F.explode("first").alias("x"))
+        more = others.join(heads, ["h", "g", "salt"]).where(F.col("id") > F.col("last")).select(F.col("id").cast("long").alias("a"), F.explode("first").alias("x"))
         more = more.select("a", F.col("x.b").alias("b"), F.lit(1.0).alias("cosine"), F.col("x.copy").alias("rank")).where(F.lit(min_cosine is None or min_cosine <= 1))
         out = out.unionByName(more)
     return out_cols(out)

@@ -64,7 +64,7 @@ def varied_subset(
     empty = T.StructType([T.StructField(item, key), T.StructField("cluster", T.IntegerType()), T.StructField("cluster_size", T.LongType()), T.StructField("quota", T.LongType())])
     if ready.size is None:
         return spark.createDataFrame([], empty)
-    rows = cut(ready.rows)
+    rows = cut(ready.rows.select("id", "u"))
     n = rows.count()
     scale = 1 << 30
     picked = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(scale)) < int(min(1.0, sample_rows / max(n, 1)) * scale)).limit(2 * sample_rows).toArrow().sort_by("id")

@@ -44,6 +44,25 @@ def test_exact_at_factor_one(spark):
     assert {r["video_idx_a"] for r in few.collect()} == {i for i in ids if i % 20 == 0}
 
 
+def test_router_in_two_levels(spark, monkeypatch):
+    """Where a sample's leaves are too few, each is divided further; a search at factor one stays exact."""
+    x = clustered(16, 3000, 5, centres=30, spread=0.3)
+    ids = list(range(3000))
+    df = table(spark, [(i, v.tolist()) for i, v in zip(ids, x)]).repartition(4)
+    made = []
+    fit = neighbors.fit_router
+    monkeypatch.setattr(neighbors, "fit_router", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    options = {"chunk_rows": 50, "sample_rows": 400}
+    got = {}
+    for r in neighbors.nearest(df, 3, item="video_idx", vector="z", factor=1.0, queries=F.col("id") % 20 == 0, **options).orderBy("video_idx_a", "rank").collect():
+        got.setdefault(r["video_idx_a"], []).append(r["video_idx_b"])
+    assert made[0].leaves > 2 * 400 // 64
+    want = brute(x, ids, 3)
+    assert got == {i: [b for b, _ in want[i]] for i in ids if i % 20 == 0}
+    found = neighbors.nearest(df, 3, item="video_idx", vector="z", factor=0.6, queries=F.col("id") % 20 == 0, **options).collect()
+    assert sum(r["video_idx_b"] in got[r["video_idx_a"]] for r in found) / (3 * 150) >= 0.9
+
+
 def test_recall_when_relaxed(spark):
     x = clustered(2, 2000, 16, centres=40, spread=0.3)
     ids = list(range(2000))

@@ -150,6 +150,10 @@ def fit_router(index: DataFrame, n: int, d: int, *, chunk_rows: int, sample_rows
     return grafted(tree, {r["leaf"]: pickle.loads(r["tree"]) for r in found})
 
 
+#: Pairs of a query and a row that are compared one by one in double precision; more of them are compared as matrices.
+PAIRS = 50_000
+
+
 class ShardSearch:
     """Best ``k`` of one chunk's rows for batches of queries."""
 
@@ -157,10 +161,11 @@ class ShardSearch:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.k, self.factor, self.max_distance = ids[order], vectors[order], k, factor, max_distance
         self.tree = build(self.vectors, leaf_rows)
+        self.single = self.vectors.astype(np.float32)
 
     def search(self, queries: np.ndarray, own: np.ndarray, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, cosine) of the best k other ids of each query, at most ``max_distance`` (or ``bound``) away."""
-        n, k = len(queries), self.k
+        n, k, single = len(queries), self.k, queries.astype(np.float32)
         limit = np.full(n, self.max_distance) if bound is None else np.minimum(bound, self.max_distance)
         top = np.full((n, k), -2.0)
         who = np.full((n, k), len(self.ids), dtype=np.int64)
@@ -169,12 +174,18 @@ class ShardSearch:
         def leaf(node: Node, active: np.ndarray) -> None:
             for at in range(0, len(active), 2048):
                 rows = active[at : at + 2048]
-                cos = queries[rows] @ self.vectors[node.rows].T
                 least = np.maximum(1 - limit[rows] ** 2 / 2 - 1e-12, top[rows, -1])
-                q, j = np.nonzero(cos >= least[:, None])
+                # single precision tells which pairs are worth a look, double precision decides
+                q, j = np.nonzero(single[rows] @ self.single[node.rows].T >= (least - 1e-5).astype(np.float32)[:, None])
                 hit = node.rows[j]
                 keep = self.ids[hit] != own[rows[q]]
-                q, hit, c = q[keep], hit[keep], np.round(cos[q[keep], j[keep]], 12)
+                q, hit = q[keep], hit[keep]
+                if len(q) > PAIRS:
+                    c = (queries[rows] @ self.vectors[node.rows].T)[q, j[keep]]
+                else:
+                    c = np.einsum("ij,ij->i", queries[rows[q]], self.vectors[hit])
+                good = c >= least[q]
+                q, hit, c = q[good], hit[good], np.round(c[good], 12)
                 if not len(q):
                     continue
                 touched = np.unique(q)
@@ -331,7 +342,8 @@ def nearest(
                     if engine is None:
                         if not ids:
                             continue
-                        engine = ShardSearch(np.concatenate(ids), np.concatenate(vectors), k, factor, limit)
+                        # with a bound few pairs are kept, and comparing more of them at once costs less than telling them apart
+                        engine = ShardSearch(np.concatenate(ids), np.concatenate(vectors), k, factor, limit, 512 if min_cosine is None else 2048)
                         ids, vectors = [], []
                     for at in range(0, part.num_rows, 4096):
                         piece = part.slice(at, 4096)

@@ -78,7 +78,7 @@ def pack(
     size: str,
     source: str | None = None,
     cluster: str | None = None,
-    shard_items: int | None = None,
+    shard_items: int = 20_000,
     well_filled: float = 0.98,
     seed: int = 1234,
 ) -> DataFrame:
@@ -90,7 +90,6 @@ def pack(
     differ in anything are items of their own, and a null id is an id like any other.  Sizes count in millionths, rounded.
     Other columns are ignored.
     """
-    shard_items = shard_items or (10_000 if source else 40_000)  # a frequent source makes searches longer
     cap = round(capacity * UNIT)
     if cap <= 0:
         raise ValueError("capacity must be positive")

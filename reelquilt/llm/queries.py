@@ -85,6 +85,23 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_durations(spark, d), 65.0, item="video_id", size="duration_s", cluster="video_id")
 
 
+def p7_apart(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`p7_packed` so that no compilation holds two videos of one source or two that are nearly the same.
+
+    A video's source is its id without the number; videos are nearly the same if they are linked in ``p3_found``.  Both
+    come with each piece (``duplicate_of`` is null for a video that is like no other).
+    """
+    vectors, statements = _score_vectors(spark, d)
+    weighted = lambda rows: clusters.FeatureHash(statements, clusters.inverse_deviations(rows, len(statements)))
+    groups = clusters.linked_groups(vectors, len(statements), LINK_RADIUS, hashing=weighted).where("group_size > 1")
+    names = table(spark, d, "video_scores").select("video_id", "video_idx").distinct()
+    alike = groups.join(names, groups["id"] == names["video_idx"]).groupBy("video_id").agg(F.min("group_id").alias("duplicate_of"))
+    source = F.regexp_replace("video_id", r"_\d+$", "").alias("source")
+    videos = cut(_durations(spark, d).join(alike, "video_id", "left").select("video_id", "duration_s", source, "duplicate_of"))
+    packed = packing.pack(videos, 65.0, item="video_id", size="duration_s", source="source", cluster="duplicate_of")
+    return packed.join(videos.select("video_id", "source", "duplicate_of"), "video_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packed(spark, d).where("n_pieces > 1 and piece = 0").select("video_id")
 
@@ -143,7 +160,7 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_subset, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_percentiles, p5_found, p5_runs, p7_found, p7_packed, p8_found, p8_leaks, p9_found, p9_report, p9_selection, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p1_subset, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_percentiles, p5_found, p5_runs, p7_found, p7_packed, p7_apart, p8_found, p8_leaks, p9_found, p9_report, p9_selection, p10_found, p10_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelquilt.llm import packing, quantiles, runs
+from reelquilt.llm import packing, quantiles, queries, runs
 
 NAN, INF = float("nan"), float("inf")
 
@@ -233,3 +233,18 @@ def test_conflicts(spark):
     assert packing.pack(videos(spark, []), 65.0, item="video_id", size="duration_s").count() == 0
     with pytest.raises(ValueError):
         packing.pack(videos(spark, []), 0, item="video_id", size="duration_s")
+
+
+def test_sources_and_near_copies_stay_apart(spark):
+    """On the project's videos, whose sources and near copies do meet where nothing keeps them apart."""
+    d = "/root/testdata/sf0.01"
+    got = queries.p7_apart(spark, d).toPandas()
+    kept = {(r["video_id"], r["piece"]): r for r in queries.p7_packed(spark, d).collect()}
+    assert len(got) == len(kept) == len(got.drop_duplicates(["video_id", "piece"]))
+    assert (got.groupby("bin_id").secs.sum() <= 65 + 1e-6).all()
+    loose = got[got.groupby("bin_id").secs.transform("size") > 1]
+    assert not loose.duplicated(["bin_id", "source"]).any()
+    assert not loose[loose.duplicate_of.notna()].duplicated(["bin_id", "duplicate_of"]).any()
+    free = got.assign(bin_id=[kept[v, p]["bin_id"] for v, p in zip(got.video_id, got.piece)])
+    assert free.duplicated(["bin_id", "source"]).any() and free[free.duplicate_of.notna()].duplicated(["bin_id", "duplicate_of"]).any()
+    assert got.bin_id.nunique() <= 1.02 * np.ceil(got.secs.sum() / 65)

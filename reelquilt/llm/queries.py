@@ -64,6 +64,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_percentiles(spark, d).where("n_scores >= 20 and p95 >= 0.30 and median <= 0.20").select("video_id", "statement_index")
 
 
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Sketched percentiles against exact ones, as one row: groups, groups with scores, those beyond the stated error.
+
+    Groups of at most ``SCORE_SHAPE.raw`` scores may be off by half a cell of the finest resolution, larger ones by the
+    value that is half a hundredth of their ranks away.
+    """
+    keys = ["video_id", "statement_index"]
+    rows = table(spark, d, "frame_scores").select("video_id", "frame_idx", "statement_index", "score").repartition(*keys).distinct()
+    at = [0.495, 0.5, 0.505, 0.945, 0.95, 0.955]
+    exact = rows.groupBy(*keys).agg(F.percentile("score", F.array(*map(F.lit, at))).alias("e"))
+    both = p4_percentiles(spark, d).join(exact.select(F.struct(*keys).alias("key"), "e"), F.struct(*keys).eqNullSafe(F.col("key")))
+    cell = (SCORE_SHAPE.high - SCORE_SHAPE.low) / SCORE_SHAPE.values
+    kept = F.col("n_scores") <= SCORE_SHAPE.raw
+    e = lambda i: F.col("e")[i]
+    off = lambda x, i: F.when(kept, F.abs(F.col(x) - e(i)) > 0.51 * cell).otherwise(~F.col(x).between(e(i - 1) - cell, e(i + 1) + cell))
+    return both.agg(F.count("*").alias("n_groups"), F.count_if(F.col("n_scores") > 0).alias("n_with_scores"), F.count_if(F.coalesce(off("median", 1) | off("p95", 4), F.lit(False))).alias("n_beyond"))
+
+
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "frame_scores"))
 
@@ -102,6 +120,15 @@ def p7_apart(spark: SparkSession, d: str) -> DataFrame:
     return packed.join(videos.select("video_id", "source", "duplicate_of"), "video_id")
 
 
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What :func:`p7_packed` comes to, as one row; ``tight``: at most 2 % (and one) more compilations than seconds ask for."""
+    packed = cut(p7_packed(spark, d))
+    bins = packed.groupBy("bin_id").agg(F.sum("secs").alias("s"), F.max("bin_total").alias("t")).agg(F.count("*").alias("n_bins"), F.max("s").alias("longest"), F.count_if(F.abs(F.col("s") - F.col("t")) > 1e-6).alias("n_wrong"))
+    own = packed.agg(F.countDistinct("video_id").alias("n_videos"), F.count("*").alias("n_pieces"), F.sum("secs").alias("s"))
+    tight = F.col("n_bins") <= 1.02 * F.ceil(F.col("s") / 65) + 1
+    return own.crossJoin(bins).select("n_videos", "n_pieces", F.round(F.col("s"), 3).alias("total_seconds"), (F.coalesce(F.col("longest"), F.lit(0.0)) <= 65 + 1e-6).alias("within"), "n_wrong", F.coalesce(tight, F.lit(True)).alias("tight"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packed(spark, d).where("n_pieces > 1 and piece = 0").select("video_id")
 
@@ -159,8 +186,18 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.labelled_clusters(vectors, clusters.FeatureHash(statements, weights), labels, k=64)
 
 
+#: Runs of frames as ``g`` (a row per frame): what :data:`p5_found` has, without the frames and keys that have no place.
+_RUNS = """
+            WITH c AS (SELECT video_id, frame_idx, statement_index, min(score) AS score FROM frame_scores WHERE video_id IS NOT NULL AND frame_idx IS NOT NULL AND statement_index IS NOT NULL GROUP BY ALL),
+            f AS (SELECT video_id, frame_idx, lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev FROM (SELECT DISTINCT video_id, frame_idx FROM c)),
+            l AS (SELECT f.video_id, f.frame_idx, coalesce(f.frame_idx - f.prev <= 3, false) AND NOT EXISTS (
+                    SELECT 1 FROM c x JOIN c y ON x.statement_index = y.statement_index
+                    WHERE x.video_id = f.video_id AND x.frame_idx = f.frame_idx AND y.video_id = f.video_id AND y.frame_idx = f.prev AND abs(x.score - y.score) > 0.005 + 1e-9) AS linked FROM f),
+            g AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS run FROM l)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_subset, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_percentiles, p5_found, p5_runs, p7_found, p7_packed, p7_apart, p8_found, p8_leaks, p9_found, p9_report, p9_selection, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p1_subset, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_percentiles, p4_errors, p5_found, p5_runs, p7_found, p7_packed, p7_apart, p7_totals, p8_found, p8_leaks, p9_found, p9_report, p9_selection, p10_found, p10_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -182,6 +219,11 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": """
             SELECT video_id, statement_index FROM (SELECT DISTINCT video_id, frame_idx, statement_index, score FROM frame_scores WHERE score IS NOT NULL)
             GROUP BY ALL HAVING count(*) >= 20 AND quantile_cont(score, 0.95) >= 0.30 AND median(score) <= 0.20""",
+        "p4_errors": """
+            SELECT count(*) AS n_groups, count(*) FILTER (n > 0) AS n_with_scores, CAST(0 AS BIGINT) AS n_beyond
+            FROM (SELECT video_id, statement_index, count(score) AS n FROM frame_scores GROUP BY ALL)""",
+        "p5_runs": _RUNS + """
+            SELECT video_id, min(frame_idx) AS first_frame_idx, max(frame_idx) AS last_frame_idx, count(*) AS n_events, CAST((max(frame_idx) - min(frame_idx) + 1) / 3.0 AS DOUBLE) AS duration_s FROM g GROUP BY video_id, run""",
         "p5_found": """
             WITH c AS (SELECT video_id, frame_idx, statement_index, min(score) AS score FROM frame_scores GROUP BY ALL),
             f AS (SELECT video_id, frame_idx, lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev FROM (SELECT DISTINCT video_id, frame_idx FROM c)),
@@ -193,6 +235,10 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": """
             WITH m AS (SELECT coalesce(video_id, regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '')) AS video_id, duration_s, probed_at FROM media_probe WHERE duration_s > 0 AND isfinite(duration_s))
             SELECT video_id FROM m GROUP BY video_id HAVING arg_max(duration_s, probed_at) > 65.0""",
+        "p7_totals": """
+            WITH m AS (SELECT coalesce(video_id, regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '')) AS video_id, duration_s, probed_at FROM media_probe WHERE duration_s > 0 AND isfinite(duration_s)),
+            v AS (SELECT video_id, arg_max(duration_s, probed_at) AS s FROM m GROUP BY video_id)
+            SELECT count(*) AS n_videos, CAST(sum(ceil(s / 65)) AS BIGINT) AS n_pieces, round(sum(s), 3) AS total_seconds, true AS within, CAST(0 AS BIGINT) AS n_wrong, true AS tight FROM v""",
         "p8_found": r"""
             WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM eval_items),
             w AS (SELECT kind, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '([\p{L}\p{N}])[-\x{00AD}\x{2010}\x{2011}][ \t\r]*\n\s*([\p{L}\p{N}])', '\1\2', 'g'))), '[\p{L}\p{N}]+') AS w FROM t WHERE text IS NOT NULL),

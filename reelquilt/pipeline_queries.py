@@ -256,6 +256,15 @@ def spectrum(spark, d):
     return rounded(_weights(spark, d).spectrum(spark))
 
 
+def spectrum_moments(spark, d):
+    """Norms of the explained shares, which are those of the covariance's powers over its trace.
+
+    Eighth and twelfth powers, in which the one component that is left out of a full set doesn't show.
+    """
+    shares = _weights(spark, d).spectrum(spark)
+    return rounded(shares.agg(*(F.pow(F.sum(F.pow("evr", F.lit(k))), F.lit(1 / k)).alias(f"m{k}") for k in (8, 12))))
+
+
 def weighted_scores(spark, d, scores=complete_scores):
     centered = cut(reweight.center_scores(scores(spark, d), "both"))
     weights = reweight.statement_weights(centered, variance_threshold=2.0, component_cap=10_000).table(spark)
@@ -396,7 +405,7 @@ QUERIES = {
     **{f"pool_{m}": _pool(m) for m in ("percentile", "mean", "median", "max", "min")},
     **{f.__name__: f for f in (pool_events, pool_lineitem, encoding_summary, top_frames, top_statements, top_videos, statement_preference, pooled_best)},
     **{f"center_{m}": _center(m) for m in ("none", "col", "row", "both")},
-    **{f.__name__: f for f in (gram_matrix, covariance_matrix, weights_full_rank, weights_default, spectrum, weighted_scores, built_embedding)},
+    **{f.__name__: f for f in (gram_matrix, covariance_matrix, weights_full_rank, weights_default, spectrum, spectrum_moments, weighted_scores, built_embedding)},
     **{f.__name__: f for f in (farthest_first_order, assign_strata, stratum_sizes, coverage_metrics, k_sweep, choose_k)},
     **{f"kcenter_{m}": _kcenter(m) for m in ("euclidean", "cosine")},
     **{f.__name__: f for f in (zscored, prototype_cosine, prototype_coverage, stratum_centroids, component_statistics, component_correlation, top_loadings)},
@@ -438,6 +447,16 @@ _POOLSQL = f"WITH {CTE['e']}, {CTE['m']}, pool AS (SELECT * FROM e WHERE video_i
 _NAMED = r"""WITH named AS (SELECT DISTINCT coalesce(video_id, nullif(regexp_extract(lower(regexp_replace(regexp_replace(regexp_extract(frame_path, '([^/\\]*)$', 1), '\.[A-Za-z0-9]+\s*$', ''), '\s*\(\d+\)$', '')), '^(.+)_\d+$', 1), '')) AS video_id, frame_path FROM frames)"""
 
 ORACLE = {
+    "spectrum_moments": f"""WITH {CTE['vs']}, ctr AS (SELECT video_idx, statement_index, score - {_COL} AS score FROM vs),
+        n AS (SELECT count(DISTINCT video_idx) AS n FROM ctr),
+        c1 AS (SELECT a.statement_index AS i, b.statement_index AS j, sum(a.score * b.score) / any_value(n.n) AS v FROM ctr a JOIN ctr b USING (video_idx), n GROUP BY ALL),
+        tr AS (SELECT sum(v) AS t FROM c1 WHERE i = j),
+        c AS (SELECT i, j, v / t AS v FROM c1, tr),
+        c2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY ALL),
+        c3 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c2 a JOIN c b ON a.j = b.i GROUP BY ALL),
+        c4 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c2 a JOIN c2 b ON a.j = b.i GROUP BY ALL),
+        c6 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c3 a JOIN c3 b ON a.j = b.i GROUP BY ALL)
+        SELECT (SELECT {R('pow(sum(v * v), 1 / 8.0)')} FROM c4) AS m8, (SELECT {R('pow(sum(v * v), 1 / 12.0)')} FROM c6) AS m12""",
     "statements_flatten": "SELECT CAST(row_number() OVER (ORDER BY seen, statement_index) - 1 AS INTEGER) AS statement_index, category, statement FROM (SELECT *, min(statement_index) OVER (PARTITION BY category) AS seen FROM statements)",
     "statements_category_filter": "SELECT CAST(row_number() OVER (ORDER BY statement_index) - 1 AS INTEGER) AS statement_index, category, statement FROM statements WHERE category = (SELECT min(category) FROM statements)",
     "sanitize_names": r"SELECT DISTINCT court, regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(court), '[^\x00-\x7f]', '', 'g'), '[''\"`,]', '', 'g'), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g') AS name FROM documents WHERE court IS NOT NULL".replace('\\"', '"'),

@@ -142,15 +142,17 @@ def median_sigma(pool: DataFrame, seed: int, sample: int = 100) -> float:
 class PoolNumbers:
     """What the metrics need of a pool: squared deviation and mean kernel of each row, and pair numbers on demand.
 
-    Kernel means over the pool are the only quadratic step; they take one pass over the pool per block of its rows.
+    Exact kernel means over the pool are the only quadratic step; they take one pass over the pool per block of its rows.
+    ``kernel_features`` replaces them by means over so many random Fourier features, which take two passes in all; a
+    row's mean is then off by about 1 / sqrt(2 * ``kernel_features``) at most, in the same way for all sets.
     """
 
-    def __init__(self, pool: DataFrame, sigma: float):
+    def __init__(self, pool: DataFrame, sigma: float, kernel_features: int | None = None, seed: int = 1234):
         self.pool, self.sigma = cut(number_from_zero(pool.select("idx", "z"), "idx", "place")), sigma
         ref = pool_reference(self.pool).first()
         self.n, self.dimensions, self.var = ref["n_videos"] or 0, ref["n_dimensions"], ref["var_global"] or 0.0
         self.mu = F.array(*(F.lit(float(x)) for x in (ref["mu"] or [])))
-        row_means = self._kernel_means()
+        row_means = self._kernel_means() if kernel_features is None else self._feature_means(kernel_features, seed)
         own = self.pool.select("idx", "z", squared_distance(F.col("z"), self.mu).alias("a"))
         self.rows = cut(own.join(row_means, "idx"))
         self.kernel_mean = self.rows.agg(F.avg("r")).first()[0] or 0.0
@@ -181,6 +183,36 @@ class PoolNumbers:
         return total.groupBy("idx").agg((F.sum("r") / self.n).alias("r"))
 
 
+    def _feature_means(self, n_features: int, seed: int) -> DataFrame:
+        """``idx, r`` by random Fourier features of the Gaussian kernel: a mean feature, then its product with each row's."""
+        size, n = self.dimensions or 1, max(self.n, 1)
+        rng = np.random.default_rng(seed)
+        weights = rng.normal(scale=1 / self.sigma, size=(size, n_features))
+        phase = rng.uniform(0, 2 * np.pi, size=n_features)
+
+        def features(part: pa.RecordBatch, column: int) -> np.ndarray:
+            return np.sqrt(2 / n_features) * np.cos(matrix_of(part.column(column), size) @ weights + phase)
+
+        def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n_features)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    out += features(batch.slice(at, 1024), 0).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_features)), pa.array(out)], names=["j", "v"])
+
+        sums = self.pool.select("z").mapInArrow(total, "j long, v double").groupBy("j").agg(F.sum("v").alias("v")).toArrow()
+        mean = np.zeros(n_features)
+        mean[sums.column("j").to_numpy()] = sums.column("v").to_numpy() / n
+
+        def means(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(features(part, 1) @ mean)], names=["idx", "r"])
+
+        return self.pool.select(F.col("idx").cast("long").alias("idx"), "z").mapInArrow(means, "idx long, r double")
+
+
 def set_metrics(sets: DataFrame, numbers: PoolNumbers) -> DataFrame:
     """Metrics of every set: ``slot, rep``, ``size`` and the four of METRICS; ``sets`` has ``slot, rep, idx``.
 
@@ -218,16 +250,17 @@ def null_parameters(numbers: PoolNumbers, sizes: list[tuple[int, int]], reps: in
     return _long(drawn_metrics(numbers, sizes, reps, seed)).groupBy("size", "metric").agg(F.avg("m").alias("mu0"), (F.stddev_pop("m") + eps).alias("sd0"))
 
 
-def interchangeability(members: DataFrame, embedding: DataFrame, *, null_draws: int = 2000, permutations: int = 3000, seed: int = 1234, eps: float = 1e-8, alpha: float = 0.05, pool: str = "members", sigma: float | None = None) -> DataFrame:
+def interchangeability(members: DataFrame, embedding: DataFrame, *, null_draws: int = 2000, permutations: int = 3000, seed: int = 1234, eps: float = 1e-8, alpha: float = 0.05, pool: str = "members", sigma: float | None = None, kernel_features: int | None = None) -> DataFrame:
     """``metric, p_max, p_rms, T_max_obs, T_rms_obs, z_obs, m_obs, verdict``, one row per metric.
 
     ``members`` has ``comp_id, video_idx``.  z compares a compilation with random sets of its size; T_max and T_rms are the
     greatest absolute and the root mean square z over the compilations; p is (1 + replicates at least as extreme) /
-    (permutations + 1).  All metrics share their draws, which is valid for each of them.
+    (permutations + 1).  All metrics share their draws, which is valid for each of them.  For a large ``library`` pool,
+    whose exact kernel means are quadratic, see ``kernel_features`` of :class:`PoolNumbers`.
     """
     sets = members.select(F.col("comp_id").cast("long").alias("slot"), F.lit(0).cast("long").alias("rep"), F.col("video_idx").alias("idx")).distinct()
     rows = member_pool(members, embedding, pool)
-    numbers = PoolNumbers(rows, sigma if sigma is not None else median_sigma(rows, seed))
+    numbers = PoolNumbers(rows, sigma if sigma is not None else median_sigma(rows, seed), kernel_features, seed)
     observed = cut(_long(set_metrics(sets.join(numbers.pool.select("idx"), "idx", "left_semi"), numbers)))
     counts = sorted((r["slot"], r["size"]) for r in observed.select("slot", "size").distinct().collect())
     nulls = cut(null_parameters(numbers, sorted({(n, n) for _, n in counts}), null_draws, seed, eps))

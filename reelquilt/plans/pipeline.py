@@ -14,7 +14,7 @@ from reelquilt.operators import interchange, pooling, report, reweight, scoring,
 from reelquilt.plans import sinks
 from reelquilt.plans.materialize import cut
 from reelquilt.schemas import require_columns, require_frames
-from reelquilt.sources import media
+from reelquilt.sources import encoders, media
 
 
 @dataclass
@@ -63,8 +63,12 @@ def frames_step(run: Run, folder: str, provider: media.MediaProvider) -> Run:
     return run
 
 
-def encode_and_score(run: Run, frames: DataFrame, statements: DataFrame, factory) -> Run:
-    """Needs an encoder; makes ``frame_features, statement_features, frame_scores``."""
+def encode_and_score(run: Run, frames: DataFrame, statements: DataFrame, factory=None) -> Run:
+    """Makes ``frame_features, statement_features, frame_scores``.
+
+    Without a ``factory`` of an encoder the configuration's ``model`` is the folder of one (:mod:`reelquilt.sources.encoders`).
+    """
+    factory = factory or encoders.from_folder(run.config.model)
     require_frames(frames)
     features = cut(scoring.encode_frames(frames, factory))
     texts = cut(scoring.encode_statements(statements, factory))

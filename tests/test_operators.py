@@ -402,6 +402,19 @@ def test_metrics_and_test(spark):
     assert interchange.median_sigma(pool.limit(1), 1) == 1.0
 
 
+def test_kernel_means_by_features(spark):
+    x = RNG.normal(size=(400, 4))
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, z array<double>")
+    exact, near = (interchange.PoolNumbers(pool, 1.5, n) for n in (None, 4096))
+    a, b = ({r["idx"]: r["r"] for r in p.rows.collect()} for p in (exact, near))
+    assert max(abs(a[i] - b[i]) for i in a) < 3 / (2 * 4096) ** 0.5 and near.kernel_mean == pytest.approx(exact.kernel_mean, abs=0.02)
+    members = spark.createDataFrame([(c, int(i)) for c in range(4) for i in RNG.choice(400, 6, replace=False)], "comp_id int, video_idx long")
+    df = vectors(spark, x)
+    one, two = ({r["metric"]: r for r in interchange.interchangeability(members, df, null_draws=200, permutations=100, pool="library", sigma=1.5, kernel_features=n).collect()} for n in (None, 4096))
+    assert [two[m]["z_obs"] for m in ("variance_capture", "mean_pairwise_distance")] == [one[m]["z_obs"] for m in ("variance_capture", "mean_pairwise_distance")]
+    assert np.abs(np.array(two["mmd"]["z_obs"]) - one["mmd"]["z_obs"]).max() < 0.5
+
+
 # --- reports and the whole ---
 
 

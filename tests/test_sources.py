@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelquilt import config, schemas
 from reelquilt.config import PipelineConfig
 from reelquilt.plans import pipeline, sinks
-from reelquilt.sources import media, statements
+from reelquilt.sources import encoders, media, statements
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import test modules
 
@@ -159,6 +159,29 @@ def test_steps_follow_the_configuration(spark, videos, tmp_path):
     assert {r["video_id"]: r["n"] for r in again.tables["frames"].groupBy("video_id").agg(F.count("*").alias("n")).collect()} == {"tall": 1, "small_one": 3}
 
 
+def test_encoder_of_model_files(tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tool = tmp_path / "ffmpeg"  # writes a picture of one colour, but not for a broken file
+    tool.write_text("#!/bin/sh\ncase \"$*\" in *broken*) echo no >&2; exit 1;; esac\nhead -c 48 /dev/zero | tr '\\0' '\\377'\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", str(tmp_path), prepend=os.pathsep)
+    vocabulary = Tokenizer(models.WordLevel({"a": 1, "b": 2, "?": 3}, unk_token="?"))
+    vocabulary.pre_tokenizer = pre_tokenizers.Whitespace()
+    vocabulary.save(str(tmp_path / "tokenizer.json"))
+    encoder = encoders.from_folder(str(tmp_path), size=4, context=3)()
+    session = lambda fn: SimpleNamespace(get_inputs=lambda: [SimpleNamespace(name="x")], run=lambda _, given: [fn(given["x"])])
+    encoder.sessions = {"image": session(lambda x: x.mean(axis=(2, 3))), "text": session(lambda x: x.sum(axis=1, keepdims=True))}
+    first, none, third = encoder.encode_images(["p/one.jpg", "p/broken.jpg", "file:/p/two%20.jpg"])
+    want = [(1 - m) / d for m, d in zip(encoders.CHANNEL_MEAN, encoders.CHANNEL_STD)]
+    assert none is None and first == pytest.approx(want) and third == pytest.approx(want)
+    assert encoder.tokens(["a b", "", "a a b z b"]).tolist() == [[1, 2, 0], [0, 0, 0], [1, 1, 2]]
+    assert encoder.encode_texts(["a b", "b"]).tolist() == [[3.0], [2.0]] and encoder.encode_images(["broken"]) == [None]
+
+
 HEIGHTS = [(None,), (480,), (720,), (1080,)]
 
 

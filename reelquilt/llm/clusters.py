@@ -345,9 +345,11 @@ def linked_groups(
     """
     spark = vectors.sparkSession
     key = vectors.schema["id"].dataType
-    all_rows = cut(vectors.select("id", "x"))
+    # copies of a vector are told by 128 bits of hash, so that vectors are shuffled once
+    all_rows = cut(vectors.select("id", "x", F.xxhash64("x").alias("one"), F.xxhash64(F.lit(seed), "x").alias("two")))
     hashing = hashing if isinstance(hashing, FeatureHash) else hashing(all_rows)
-    reps = cut(hashed(all_rows.groupBy("x").agg(F.min("id").alias("id")).select("id", "x"), hashing))
+    heads = all_rows.groupBy("one", "two").agg(F.min(F.struct("id", "x")).alias("s")).select("one", "two", F.col("s.id").alias("id"), F.col("s.x").alias("x"))
+    reps = cut(hashed(heads, hashing))
     n = reps.count()
     if not n:
         return spark.createDataFrame([], T.StructType([T.StructField("id", key), T.StructField("group_id", key), T.StructField("group_size", T.LongType())]))
@@ -384,7 +386,7 @@ def linked_groups(
     edges = joint.select("a", F.explode("reps").alias("b"))
     roots = components(edges.where("a != b"))
     grouped = joint.select("id", "a").join(roots, F.col("a") == F.col("node"), "left").select("id", F.coalesce("root", "a").alias("root"))
-    by_vector = reps.select("id", "x").join(grouped, "id").select("x", "root")
-    members = cut(all_rows.join(by_vector, "x").select("id", "root"))
+    by_vector = reps.select("id", "one", "two").join(grouped, "id").select("one", "two", "root")
+    members = cut(all_rows.select("id", "one", "two").join(by_vector, ["one", "two"]).select("id", "root"))
     sizes = members.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
     return members.join(sizes, "root").select("id", "group_id", "group_size")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from reelquilt.plans.materialize import cut
+
 OPEN_COST = 4 << 20
 TARGET_BYTES = 128 << 20
 
@@ -40,14 +42,17 @@ def classify_files(files: DataFrame, *, file: str = "file_id", path: str = "fram
     """
     own = files.select(F.col(file).alias("file"), F.col(path).alias("path"), F.col(n_bytes).cast("long").alias("bytes")).distinct()
     video, number = frame_of_path(F.col("path"))
-    named = own.select("file", "path", "bytes", video.alias("video"), number.alias("number"))
+    named = cut(own.select("file", "path", "bytes", video.alias("video"), number.alias("number")))  # read twice below
     filled = F.coalesce(F.col("bytes") > 0, F.lit(False))
-    # Only files that name a frame and have content meet in a window; the others would all share a group.
     rivals, others = named.where(filled & F.col("number").isNotNull()), named.where(~filled | F.col("number").isNull())
-    frame = W.partitionBy("video", "number").orderBy(F.col("file").asc_nulls_last(), "path", "bytes")
-    first = F.first("file").over(frame)
-    status = F.when(F.row_number().over(frame) == 1, "kept").when(F.col("file").eqNullSafe(first), "same").otherwise("repeat")
-    out = rivals.withColumn("status", status).unionByName(others.withColumn("status", F.when(~filled, "empty").otherwise("unnamed")))
+    # The smallest id is aggregated before the shuffle, so that a frame filed very often is no hot spot; only the rows of
+    # that one file meet in a window.
+    first = rivals.groupBy("video", "number").agg(F.min("file").alias("first"))
+    met = rivals.join(first, ["video", "number"])
+    frame = W.partitionBy("video", "number").orderBy("path", "bytes")
+    own = met.where(F.col("file").eqNullSafe(F.col("first"))).withColumn("status", F.when(F.row_number().over(frame) == 1, "kept").otherwise("same"))
+    repeats = met.where(~F.col("file").eqNullSafe(F.col("first"))).withColumn("status", F.lit("repeat"))
+    out = own.unionByName(repeats).drop("first").unionByName(others.withColumn("status", F.when(~filled, "empty").otherwise("unnamed")))
     return out.select(F.col("file").alias(file), "path", "video", "number", "bytes", "status")
 
 
@@ -73,7 +78,7 @@ def plan_containers(
     keep = F.col("status").isin("kept", "unnamed")
     buckets = max(1, -(-total // (64 * target_bytes)))
     place = F.pmod(F.xxhash64("video", F.floor(F.col("number") / stretch)), F.lit(buckets))
-    place = F.when(F.col("number").isNull(), F.pmod(F.xxhash64(file), F.lit(buckets))).otherwise(place)
+    place = F.when(F.col("number").isNull(), F.pmod(F.xxhash64(file, "path"), F.lit(buckets))).otherwise(place)
     kept = named.where(keep).withColumn("bucket", place).withColumn("cost", cost(F.col("bytes")))
     ahead = W.partitionBy("bucket").orderBy("video", "number", file, "path").rowsBetween(W.unboundedPreceding, -1)
     at = F.floor(F.coalesce(F.sum("cost").over(ahead), F.lit(0)) / F.lit(target_bytes))

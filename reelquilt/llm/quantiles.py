@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reelquilt.llm.batches import codes, distinct, glued, groups
+
 
 @dataclass(frozen=True)
 class DyadicSketch:
@@ -166,21 +168,6 @@ def merged(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[sums != 0], sums[sums != 0]
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    """Whole numbers that are equal where values are; -1 for null."""
-    return pc.fill_null(pc.dictionary_encode(column).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _groups(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """First rows of stretches of equal keys, and the stretch of each row."""
-    new = np.zeros(batch.num_rows, dtype=bool)
-    new[:1] = True
-    for i in range(n_keys):
-        codes = _codes(batch.column(i))
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def _lists(keys: np.ndarray, sums: np.ndarray, groups: int, cells: int) -> tuple[pa.ListArray, pa.ListArray]:
     offsets = pa.array(np.searchsorted(keys, np.arange(groups + 1) * cells).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array((keys % cells).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(sums))
@@ -207,7 +194,7 @@ def sketch(rows: DataFrame, keys: Sequence[str], value: str, *, shape: DyadicSke
         for batch in batches:
             if not batch.num_rows:
                 continue
-            heads, group = _groups(batch, len(keys))
+            heads, group = groups(batch, len(keys))
             values = batch.column(len(keys))
             there = pc.is_valid(values).to_numpy(zero_copy_only=False)
             x = values.to_numpy(zero_copy_only=False)[there]
@@ -239,9 +226,9 @@ def _pack(rows: DataFrame, stretch: int, salts: int = 256) -> DataFrame:
             v = pc.fill_null(batch.column(3), np.nan).to_numpy(zero_copy_only=False) + 0.0
             bits = v.view(np.int64)
             part = np.where(known, p // stretch, -(1 << 40) - np.where(np.isnan(v), 0, (bits ^ (bits >> 29)) % salts))
-            order, fresh = _distinct([_codes(batch.column(0)), part, _codes(batch.column(2)), np.where(known, p, -(1 << 40)), bits])
+            order, fresh = distinct([codes(batch.column(0)), part, codes(batch.column(2)), np.where(known, p, -(1 << 40)), bits])
             order = order[fresh]
-            k, part = _codes(batch.column(0))[order], part[order]
+            k, part = codes(batch.column(0))[order], part[order]
             heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1])]))
             offsets = pa.array(np.append(heads, len(order)).astype(np.int32))
             take = pa.array(order)
@@ -252,17 +239,6 @@ def _pack(rows: DataFrame, stretch: int, salts: int = 256) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by the columns, and which rows in that order differ from the one before."""
-    order = np.lexsort(columns[::-1])
-    fresh = np.zeros(len(order), dtype=bool)
-    fresh[:1] = True
-    for c in columns:
-        c = c[order]
-        fresh[1:] |= c[1:] != c[:-1]
-    return order, fresh
-
-
 def sketch_sequences(rows: DataFrame, *, sequence: str, position: str, feature: str, value: str, shape: DyadicSketch = DyadicSketch(), stretch: int = 1024) -> DataFrame:
     """Partial sketches of ``value`` per ``sequence`` and ``feature``, in which exact repeats of a row count once.
 
@@ -277,16 +253,16 @@ def sketch_sequences(rows: DataFrame, *, sequence: str, position: str, feature:
 
     def partial(part: pa.RecordBatch) -> pa.RecordBatch:
         """Sketches of whole stretches: rows of (k, f, n, cells, counts), ordered by k as it comes."""
-        _, stretch_of = _groups(part, 2)
-        k_heads, k_of = _groups(part, 1)
+        _, stretch_of = groups(part, 2)
+        k_heads, k_of = groups(part, 1)
         sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(part.num_rows), sizes)
         places, features, values = (pc.list_flatten(part.column(i)) for i in (2, 3, 4))
         p = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         p = np.where(pc.is_valid(places).to_numpy(zero_copy_only=False), p, -(1 << 40))
-        f = _codes(features)
+        f = codes(features)
         v = pc.fill_null(values, np.nan).to_numpy(zero_copy_only=False) + 0.0
-        order, fresh = _distinct([stretch_of[owner], f, p, v.view(np.int64)])
+        order, fresh = distinct([stretch_of[owner], f, p, v.view(np.int64)])
         order = order[fresh]
         group_k, group_f, x = k_of[owner][order], f[order], v[order]
         wide = group_k * (len(features) + 2) + group_f + 1
@@ -302,12 +278,12 @@ def sketch_sequences(rows: DataFrame, *, sequence: str, position: str, feature:
 
         def joined(new: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal open_rows
-            both = new if open_rows is None else _glued(open_rows, new)
-            heads, group = _groups(both, 1)
-            order = np.lexsort([_codes(both.column(1)), group])
+            both = new if open_rows is None else glued(open_rows, new)
+            heads, group = groups(both, 1)
+            order = np.lexsort([codes(both.column(1)), group])
             both = both.take(pa.array(order))
             rows_of = merged_rows(both, 2, shape)
-            heads, _ = _groups(rows_of, 1)
+            heads, _ = groups(rows_of, 1)
             last = int(heads[-1])
             open_rows = rows_of.slice(last)
             if last:
@@ -317,8 +293,8 @@ def sketch_sequences(rows: DataFrame, *, sequence: str, position: str, feature:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both = batch if waiting is None else _glued(waiting, batch)
-            heads, _ = _groups(both, 2)
+            both = batch if waiting is None else glued(waiting, batch)
+            heads, _ = groups(both, 2)
             cut = int(heads[-1])
             waiting = both.slice(cut)
             if cut:
@@ -331,10 +307,6 @@ def sketch_sequences(rows: DataFrame, *, sequence: str, position: str, feature:
     return packed.mapInArrow(run, schema)
 
 
-def _glued(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.Table.from_batches([a, b.cast(a.schema) if b.schema != a.schema else b]).combine_chunks().to_batches()[0]
-
-
 def _sums(part: pa.RecordBatch, heads: np.ndarray, group: np.ndarray, n_keys: int, shape: DyadicSketch) -> tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]:
     """Sums of sketches that follow each other: key columns, n, counter keys, sums."""
     lists, sums = part.column(n_keys + 1), part.column(n_keys + 2)
@@ -348,7 +320,7 @@ def _sums(part: pa.RecordBatch, heads: np.ndarray, group: np.ndarray, n_keys: in
 
 def merged_rows(part: pa.RecordBatch, n_keys: int, shape: DyadicSketch) -> pa.RecordBatch:
     """One sketch for each stretch of equal keys."""
-    heads, group = _groups(part, n_keys)
+    heads, group = groups(part, n_keys)
     cols, n, k, s = _sums(part, heads, group, n_keys, shape)
     return pa.RecordBatch.from_arrays([*cols, pa.array(n), *_lists(k, s, len(n), shape.cells)], names=part.schema.names)
 
@@ -359,8 +331,8 @@ def _merge_stream(batches: Iterable[pa.RecordBatch], n_keys: int, shape: DyadicS
     for big in batches:
         for at in range(0, big.num_rows, 1024):
             batch = big.slice(at, 1024)
-            batch = batch if held is None else _glued(held, batch)
-            heads, group = _groups(batch, n_keys)
+            batch = batch if held is None else glued(held, batch)
+            heads, group = groups(batch, n_keys)
             cut = int(heads[-1])
             if cut:
                 yield _sums(batch.slice(0, cut), heads[:-1], group[:cut], n_keys, shape)

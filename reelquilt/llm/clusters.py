@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from reelquilt.llm import kmeans
+from reelquilt.llm.batches import codes, glued, groups
 from reelquilt.llm.components import components
 from reelquilt.llm.vectors import lists, matrix, square_distances
 from reelquilt.operators import linalg
@@ -36,25 +38,83 @@ class FeatureHash:
         self.norm = float(np.linalg.norm(self.matrix, 2)) if features else 1.0
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Versions as numbers that compare like them, null below all others."""
+    if pa.types.is_temporal(column.type):
+        column = column.cast(pa.int64())
+    if pa.types.is_floating(column.type):
+        return np.nan_to_num(pc.fill_null(column, -np.inf).to_numpy(zero_copy_only=False), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    return pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+def _newest(record: np.ndarray, feature: np.ndarray, version: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Rows that count: of each record and feature the one with the greatest version, then the greatest value (NaN last)."""
+    order = np.lexsort([np.nan_to_num(value, nan=-np.inf), version, feature, record])
+    last = np.ones(len(order), dtype=bool)
+    r, f = record[order], feature[order]
+    last[:-1] = (r[1:] != r[:-1]) | (f[1:] != f[:-1])
+    return order[last]
+
+
 def feature_vectors(rows: DataFrame, features: list, *, record: str, feature: str, value: str, version: str | None = None, complete: bool = True) -> DataFrame:
     """``id`` and ``x``, the values of ``features`` in their order, for records that have a value for every one of them.
 
     Without ``complete`` for all records that have any value; for one that is missing stands the feature's mean over all
     records that have it (0 if none has).
 
-    Of several rows of a record and feature the one with the greatest ``version`` counts (then the greatest value); if its
-    value is null or NaN the record has none.  Null records and features, and features not listed, are ignored.
+    Of several rows of a record and feature the one with the greatest ``version`` (a number or a time) counts, then the
+    greatest value; if its value is null or NaN the record has none.  Null records and features, and features not listed,
+    are ignored.  Rows are reduced to those that may count before they are shuffled, so a record that is repeated very
+    often is no hot spot.
     """
-    own = rows.select(F.col(record).alias("id"), F.col(feature).alias("f"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v"), (F.col(version) if version else F.lit(0)).alias("t"))
-    own = own.where(F.col("id").isNotNull() & F.col("f").isin(features)).repartition("id")
-    newest = own.groupBy("id", "f").agg(F.max(F.struct("t", "v")).alias("s")).select("id", "f", F.col("s.v").alias("v")).where("v is not null")
-    if not complete:
-        newest = cut(newest)
-        means = {e["f"]: e["v"] for e in newest.groupBy("f").agg(F.avg("v").alias("v")).collect()}
-        held = newest.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
-        return held.select("id", F.array(*(F.coalesce(F.try_element_at("m", F.lit(f)), F.lit(means.get(f, 0.0))) for f in features)).alias("x"))
-    packed = newest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("f")).alias("i"), "v"))).alias("s"))
-    return packed.where(F.size("s") == len(features)).select("id", F.transform("s", lambda e: e["v"]).alias("x"))
+    place = F.array_position(F.array(*map(F.lit, features)), F.col(feature)) if features else F.lit(0)
+    own = rows.select(F.col(record).alias("id"), (place - 1).cast("int").alias("f"), (F.col(version) if version else F.lit(0)).alias("t"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v"))
+    own = own.where(F.col("id").isNotNull() & (F.col("f") >= 0))
+    lists_of = T.StructType([own.schema["id"], *(T.StructField(c, T.ArrayType(own.schema[c].dataType)) for c in ("f", "t", "v"))])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = codes(batch.column(0))
+            order = _newest(k, batch.column(1).to_numpy(zero_copy_only=False), _numbers(batch.column(2)), pc.fill_null(batch.column(3), np.nan).to_numpy(zero_copy_only=False))
+            heads = np.flatnonzero(np.diff(k[order], prepend=-1))
+            offsets, take = pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(order)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take.take(pa.array(heads))), *(pa.ListArray.from_arrays(offsets, batch.column(i).take(take)) for i in (1, 2, 3))], names=lists_of.names)
+
+    m = len(features)
+    kind = T.StructType([own.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def vectors(part: pa.RecordBatch) -> pa.RecordBatch:
+        heads, group = groups(part, 1)
+        owner = group[np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))]
+        f, t, v = (pc.list_flatten(part.column(i)) for i in (1, 2, 3))
+        f, v = f.to_numpy(zero_copy_only=False), pc.fill_null(v, np.nan).to_numpy(zero_copy_only=False)
+        order = _newest(owner, f, _numbers(t), v)
+        x = np.full((len(heads), m), np.nan)
+        x[owner[order], f[order]] = v[order]
+        there = ~np.isnan(x)
+        some = np.flatnonzero(there.all(axis=1) if complete else there.any(axis=1))
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(heads[some])), lists(x[some])], names=kind.names)
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.RecordBatch | None = None  # the last record, which may go on
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                both = batch.slice(at, 1024) if waiting is None else glued(waiting, batch.slice(at, 1024))
+                last = int(groups(both, 1)[0][-1])
+                if last:
+                    yield vectors(both.slice(0, last))
+                waiting = both.slice(last)
+        if waiting is not None:
+            yield vectors(waiting)
+
+    held = own.mapInArrow(pack, lists_of).repartition("id").sortWithinPartitions("id").mapInArrow(unpack, kind)
+    if complete:
+        return held
+    held = cut(held)
+    means = {r["j"]: r["v"] for r in held.select(F.posexplode("x").alias("j", "v")).where(~F.isnan("v")).groupBy("j").agg(F.avg("v").alias("v")).collect()}
+    return held.select("id", F.zip_with("x", F.array(*(F.lit(means.get(j, 0.0)) for j in range(m))), lambda a, b: F.nanvl(a, b)).alias("x"))
 
 
 def inverse_deviations(rows: DataFrame, size: int) -> list[float]:

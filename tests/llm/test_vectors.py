@@ -195,6 +195,30 @@ def test_feature_vectors(spark):
     assert got == [(1, [0.7, 0.25])]
 
 
+def test_newest_scores_of_records_that_are_repeated_often(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(v), int(f), float(x), int(t)) for v, f, x, t in zip(np.where(rng.random(30_000) < 0.4, 7, rng.integers(200, size=30_000)), rng.integers(5, size=30_000), rng.random(30_000).round(3), rng.integers(50, size=30_000))]
+    rows += [(7, 1, None, 60), (8, 1, None, 60), (8, 1, 0.5, 60), (900, 0, 0.5, None), (900, 1, None, None), (901, 0, 0.1, None), (901, 0, 0.2, 1)]
+    best = {}
+    for v, f, x, t in rows:
+        key = (t is not None, t or 0, x is not None, x or 0.0)
+        if (v, f) not in best or key > best[v, f][0]:
+            best[v, f] = (key, x)
+    held = {}
+    for (v, f), (_, x) in best.items():
+        if x is not None:
+            held.setdefault(v, {})[f] = x
+    df = spark.createDataFrame(rows, "v int, f int, s double, t int").repartition(5)
+    timed = df.select("v", "f", "s", F.timestamp_seconds("t").alias("t"))
+    for table_of in (df, timed):
+        got = {r["id"]: r["x"] for r in clusters.feature_vectors(table_of, [4, 0, 1, 2, 3], record="v", feature="f", value="s", version="t").collect()}
+        assert got == {v: [x[f] for f in (4, 0, 1, 2, 3)] for v, x in held.items() if len(x) == 5} and 7 not in got
+    means = {f: np.mean([x[f] for x in held.values() if f in x]) for f in range(5)}
+    loose = {r["id"]: r["x"] for r in clusters.feature_vectors(df, [0, 1, 2, 3, 4, 9], record="v", feature="f", value="s", version="t", complete=False).collect()}
+    assert set(loose) == set(held) and all(loose[v] == pytest.approx([*(held[v].get(f, means[f]) for f in range(5)), 0.0]) for v in held)
+    assert clusters.feature_vectors(df.limit(0), [0], record="v", feature="f", value="s").count() == 0
+
+
 def test_hashing_bound():
     rng = np.random.default_rng(7)
     h = clusters.FeatureHash(list(range(24)), weights=rng.uniform(0.5, 2, size=24).tolist(), size=16)
